@@ -31,7 +31,7 @@ from critpath.llm.common import cut, words_of
 
 SEED = 42
 #: Levels to choose from, and how many fingerprints may fall into the fullest shard before more levels are taken.
-LEVELS, SHARD_ROWS = (2, 4, 8, 16), 4096
+LEVELS, SHARD_ROWS = (4, 8, 16), 4096
 _CHUNK = 1 << 16
 
 
