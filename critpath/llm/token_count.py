@@ -1,7 +1,7 @@
 """Token counts by a two-tier lookup on the map side; no stretch of text is ever shuffled.
 
 First tier: a broadcast hash table from frequent stretches (pre-tokens) to their numbers of tokens, taken from a
-bounded sample of documents: SAMPLE_DOCS documents, each counted up to its first SAMPLE_CHARS characters, TABLE_ROWS
+bounded sample of documents: SAMPLE_DOCS of them on average, each counted up to its first SAMPLE_CHARS characters, TABLE_ROWS
 entries of at most bpe.CACHE_CHARS characters, so under 4 MB whatever the input. The table only saves time: what it
 lacks is encoded in a worker and kept in that worker's bounded cache, so no count depends on the sample.
 
@@ -60,7 +60,7 @@ def frequent(docs: DataFrame, path: str) -> dict[str, int]:
         top = found.most_common(TABLE_ROWS)
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["part", "n"])
 
-    counts = docs.select("text").limit(SAMPLE_DOCS).mapInArrow(counted, "part string, n long")
+    counts = docs.select("text").sample(min(1.0, SAMPLE_DOCS / max(1, docs.count())), 11).mapInArrow(counted, "part string, n long")
     top = counts.groupBy("part").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "part").limit(TABLE_ROWS)
     coder = bpe.encoder(path)
     return {x: len(coder.special[x]) // 4 if x in coder.special else len(coder.stretch(x.encode())) for (x,) in top.select("part").collect()}
