@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from critpath.llm import bpe, chat_format, quality_rules, simhash, token_count
+from critpath.llm import bpe, chat_format, labelled, quality_classifier, quality_rules, simhash, token_count, toxicity
 from critpath.llm.common import table
 
 
@@ -18,6 +18,12 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.fingerprint_hex("fp").alias("fingerprint"), "component_id")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score_documents(docs, toxicity.train(docs, table(spark, sf_dir, "labels")), ["doc_id"])
+    return scored.select("doc_id", labelled.held_out().alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= toxicity.CUT).cast("int").alias("predicted"), "toxic_hits")
+
+
 def op6_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents")).withColumn("over_limit", F.col("n_tokens") > 1024)
 
@@ -41,7 +47,13 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents"), ["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op4_simhash, op6_token_count, op8_chat_format, op9_quality_rules)}
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = quality_classifier.score_documents(docs, quality_classifier.train(docs, table(spark, sf_dir, "labels")), ["doc_id"])
+    return scored.select("doc_id", labelled.held_out().alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= quality_classifier.CUT).cast("int").alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (op2_bpe, op4_simhash, op5_toxicity, op6_token_count, op8_chat_format, op9_quality_rules, op10_quality_classifier)}
 
 #: formatted_chars is the escaped length: markers per run of roles, turn and conversation, and one more character for each escape.
 ORACLE_SQL = {
