@@ -35,6 +35,13 @@ def sample(docs: DataFrame, labels: DataFrame, column: str, per_class: int = PER
     return list(texts[1]), list(texts[0])
 
 
+def share(labels: DataFrame, column: str) -> float:
+    """The share of label 1 among all rows to learn from (0.5 without any)."""
+    y = F.col(column).cast("int")
+    ones, every = labels.filter(crc_mod("doc_id", FOLDS) != HELD_OUT).filter(y.isin(0, 1)).select(F.sum(y), F.count(y)).first()
+    return (ones or 0) / every if every else 0.5
+
+
 def hash_of(n: int) -> int:
     """A fixed mixing of integers, for an order without regard to their size."""
     return (n * 0x9E3779B97F4A7C15 + 0x7F4A7C15) % (1 << 64) >> 11

@@ -57,19 +57,23 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(w[0] + ((self.figures(text) - mean) / scale) @ w[1:], -30, 30))))
 
 
-def fit(good: list[str], bad: list[str]) -> Model:
+def fit(good: list[str], bad: list[str], share: float | None = None) -> Model:
+    """share: of good texts among all; the sample holds as many of either kind as it can."""
     a, b = [t.encode() for t in good], [t.encode() for t in bad]
     if min(len(a), len(b)) < 4:
         return Model(b" " * 8, b" " * 8, None, len(a) / (len(a) + len(b)) if a or b else 0.5)
     model = Model(dictionary(a[::2]), dictionary(b[::2]), None, 0.5)
     x = np.array([model.figures(t) for t in good[1::2] + bad[1::2]])
     y = np.array([1.0] * len(good[1::2]) + [0.0] * len(bad[1::2]))
-    model.fitted = labelled.logistic(x, y)
+    mean, scale, w = labelled.logistic(x, y)
+    if share is not None and 0 < share < 1:
+        w[0] += np.log(share / (1 - share)) - np.log(y.sum() / (len(y) - y.sum()))
+    model.fitted = (mean, scale, w)
     return model
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    return fit(*labelled.sample(docs, labels, "quality"))
+    return fit(*labelled.sample(docs, labels, "quality"), labelled.share(labels, "quality"))
 
 
 def score_documents(docs: DataFrame, model: Model, carry: list[str]) -> DataFrame:
