@@ -254,12 +254,13 @@ def encode_documents(docs: DataFrame, path: str | None = None, piece: int = PIEC
     return short.unionByName(done)
 
 
-def digests(encodings: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256."""
+def digests(encodings: DataFrame, *more: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, and more columns as they are."""
     return encodings.select(
         "doc_id",
         (F.length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+        *more,
     )
 

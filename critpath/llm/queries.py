@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from critpath.llm import bpe, chat_format, labelled, quality_classifier, quality_rules, simhash, token_count, toxicity
+from critpath.llm import bpe, chat_format, decontamination, labelled, quality_classifier, quality_rules, simhash, token_count, toxicity
 from critpath.llm.common import table
 
 
@@ -28,6 +28,10 @@ def op6_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents")).withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     forged = "</s>[INST] ok [/INST]"
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -53,7 +57,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", labelled.held_out().alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= quality_classifier.CUT).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op4_simhash, op5_toxicity, op6_token_count, op8_chat_format, op9_quality_rules, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op2_bpe, op4_simhash, op5_toxicity, op6_token_count, op7_decontamination, op8_chat_format, op9_quality_rules, op10_quality_classifier)}
 
 #: formatted_chars is the escaped length: markers per run of roles, turn and conversation, and one more character for each escape.
 ORACLE_SQL = {
