@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from critpath.llm import bpe, chat_format, decontamination, html_extraction, labelled, quality_classifier, quality_rules, simhash, token_count, toxicity
+from critpath.llm import bpe, chat_format, decontamination, html_extraction, labelled, lm_scoring, quality_classifier, quality_rules, simhash, token_count, toxicity
 from critpath.llm.common import table
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_documents(table(spark, sf_dir, "documents")))
 
@@ -61,7 +65,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", labelled.held_out().alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= quality_classifier.CUT).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op3_html_extraction, op4_simhash, op5_toxicity, op6_token_count, op7_decontamination, op8_chat_format, op9_quality_rules, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_bpe, op3_html_extraction, op4_simhash, op5_toxicity, op6_token_count, op7_decontamination, op8_chat_format, op9_quality_rules, op10_quality_classifier)}
 
 #: formatted_chars is the escaped length: markers per run of roles, turn and conversation, and one more character for each escape.
 ORACLE_SQL = {
