@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zlib
@@ -47,6 +48,12 @@ def text_bytes(df: DataFrame, column: str = "text") -> int:
     return int(df.select(F.sum(F.octet_length(column))).first()[0] or 0)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more, before it happens to collect garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df, written as Parquet to the shared checkpoint folder and read again."""
     spark = df.sparkSession

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from critpath.llm.common import crc_of, cut, words_of
+from critpath.llm.common import crc_of, cut, release, words_of
 
 FOLDS, HELD_OUT = 5, 1
 #: Tokens of a block, and entries of a shard on average.
@@ -232,6 +232,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     shards = max(1, -(-int(tokens) // SHARD_ENTRIES))
     asked = stored.mapInArrow(_asked(shards), ASKED)
     pairs = cut(asked.filter("kind = 'pair'").groupBy("shard").applyInArrow(_answered(shards), ANSWER))
+    release(docs.sparkSession)  # what blocks asked for is the largest shuffle, and its answers are stored now
     narrow = asked.filter("kind = 'word'").select("kind", "shard", "block", "a", "n")
     words = cut(narrow.unionByName(pairs.filter("kind = 'follow'").select("kind", "shard", "block", "a", "n")).groupBy("shard").applyInArrow(_words, ANSWER))
 
