@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 import zlib
 
@@ -49,9 +50,14 @@ def text_bytes(df: DataFrame, column: str = "text") -> int:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that nothing refers to any more, before it happens to collect garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Let Spark delete the shuffle files of plans that nothing refers to any more, before it happens to collect garbage.
+
+    Listeners refer to a finished query for a moment longer, so garbage is collected twice; deletion is asynchronous.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(1.5)
 
 
 def stored(df: DataFrame) -> DataFrame:
