@@ -27,19 +27,17 @@ def bounds(window: int) -> tuple[Column, Column]:
 
 
 def outer(trace: DataFrame) -> DataFrame:
-    """Sends and receives of each epoch side by side, joined by (epoch, sender, correlator); null correlators match.
+    """Sends and receives of each epoch side by side (s, r), by (epoch, sender, correlator); null correlators match.
 
-    Of several sends with one key in an epoch, the first counts (duplicate_sends has the others).
+    A row for each receive, and one for a send that has none. Of several sends with one key in an epoch, the first
+    counts (duplicate_sends has the others). Both ends of a key meet in one window, so there is one shuffle and no join.
     """
-    messages = communication(trace).withColumn("sender", sender())
-    first = W.partitionBy("epoch", "sender", "correlator_id").orderBy("ts", "seq")
-    key = [F.col("epoch"), F.col("sender"), F.col("correlator_id")]
-    sent = messages.filter(F.col("event_type") == SENT).withColumn("_k", F.row_number().over(first)).filter("_k = 1")
-    received = messages.filter(F.col("event_type") == RECEIVED)
-    s = sent.select(*(k.alias(f"s_{n}") for k, n in zip(key, ("epoch", "sender", "corr"), strict=True)), F.struct("seq", "ts", "local_worker", "remote_worker", "activity_type", "operator_id", "correlator_id").alias("s"))
-    r = received.select(*(k.alias(f"r_{n}") for k, n in zip(key, ("epoch", "sender", "corr"), strict=True)), F.struct("seq", "ts", "local_worker", "remote_worker", "activity_type", "operator_id", "correlator_id").alias("r"))
-    on = (F.col("s_epoch") == F.col("r_epoch")) & (F.col("s_sender") == F.col("r_sender")) & F.col("s_corr").eqNullSafe(F.col("r_corr"))
-    return s.join(r, on, "full_outer").select(F.coalesce("s_epoch", "r_epoch").alias("epoch"), "s", "r")
+    end = F.struct("ts", "seq", "local_worker", "remote_worker", "activity_type", "operator_id", "correlator_id")
+    is_sent, is_received = F.col("event_type") == SENT, F.col("event_type") == RECEIVED
+    key = W.partitionBy("epoch", "sender", "correlator_id")
+    rows = communication(trace).withColumn("sender", sender()).withColumns({"own": end, "s": F.min(F.when(is_sent, end)).over(key), "any": F.max(is_received).over(key)})
+    lone = is_sent & ~F.col("any") & (F.col("own.ts") == F.col("s.ts")) & (F.col("own.seq") == F.col("s.seq"))
+    return rows.filter(is_received | lone).select("epoch", "s", F.when(is_received, F.col("own")).alias("r"))
 
 
 def pair(trace: DataFrame, window: int, strict: bool = False) -> Paired:

@@ -50,32 +50,43 @@ def spread(n: int, src: np.ndarray, dst: np.ndarray, seeds: np.ndarray, factor:
     return value
 
 
-def _epoch_ranked(capacity: str):
+#: Epochs that one call handles together (as separate parts of one graph), so that small epochs cost little each.
+EPOCHS_PER_TASK = 32
+
+
+def _numbered(*columns: np.ndarray) -> np.ndarray:
+    """Numbers from 0 for the distinct rows of columns."""
+    order = np.lexsort(columns)
+    fresh = np.zeros(len(order), bool)
+    for c in columns:
+        fresh[1:] |= c[order][1:] != c[order][:-1]
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(fresh)
+    return out
+
+
+def _epochs_ranked(capacity: str):
     def run(group: pa.Table) -> pa.Table:
-        pdf = group.to_pandas()
-        is_edge = (pdf["kind"] == "EDGE").to_numpy()
-        key = lambda a, b: list(zip(pdf[a], pdf[b], strict=True))
-        src, dst = key("src_ts", "src_worker"), key("dst_ts", "dst_worker")
-        kinds = pdf["kind"].tolist()
-        numbers: dict[tuple, int] = {}
-        number = lambda x: numbers.setdefault(x, len(numbers))
-        a = np.array([number(s) for s, k in zip(src, kinds, strict=True) if k == "EDGE"], np.int64)
-        b = np.array([number(d) for d, k in zip(dst, kinds, strict=True) if k == "EDGE"], np.int64)
-        starts = np.array([number(d) for d, k in zip(dst, kinds, strict=True) if k == "START"], np.int64)
-        ends = np.array([number(s) for s, k in zip(src, kinds, strict=True) if k == "END"], np.int64)
-        rule = CAPACITIES[capacity]
-        factor, plus = rule(pdf["traverse"].to_numpy()[is_edge])
-        forward = spread(len(numbers), a, b, starts, factor, plus)
-        backward = spread(len(numbers), b, a, ends, factor, plus)
-        kept = group.filter(pa.array(is_edge))
-        return kept.append_column("bc", pa.array(forward * backward, pa.float64(), from_pandas=False))
+        kind = group["kind"].to_numpy(zero_copy_only=False)
+        is_edge, is_start, is_end = (kind == k for k in ("EDGE", "START", "END"))
+        column = lambda name: group[name].fill_null(0).to_numpy()
+        epoch, lead, tail = column("epoch"), ~is_start, ~is_end
+        # every row that has a source, then every row that has a destination
+        node = _numbered(*(np.concatenate((a[lead], b[tail])) for a, b in ((epoch, epoch), (column("src_ts"), column("dst_ts")), (column("src_worker"), column("dst_worker")))))
+        src, dst = np.full(len(kind), -1), np.full(len(kind), -1)
+        src[lead], dst[tail] = node[: lead.sum()], node[lead.sum() :]
+        n = int(node.max(initial=-1)) + 1
+        factor, plus = CAPACITIES[capacity](group["traverse"].to_numpy(zero_copy_only=False)[is_edge])
+        forward = spread(n, src[is_edge], dst[is_edge], dst[is_start], factor, plus)
+        backward = spread(n, dst[is_edge], src[is_edge], src[is_end], factor, plus)
+        return group.filter(pa.array(is_edge)).append_column("bc", pa.array(forward * backward, pa.float64(), from_pandas=False))
 
     return run
 
 
 def betweenness(pag: DataFrame, capacity: str = "no_waiting") -> DataFrame:
     """The edges with bc, the number of paths through each; nan for edges that paths can't settle (unsettled has them)."""
-    return pag.select(*PAG_COLUMNS).groupBy("epoch").applyInArrow(_epoch_ranked(capacity), RANKED)
+    return pag.select(*PAG_COLUMNS).groupBy(F.expr(f"epoch div {EPOCHS_PER_TASK}")).applyInArrow(_epochs_ranked(capacity), RANKED)
 
 
 def unsettled(ranked: DataFrame) -> DataFrame:

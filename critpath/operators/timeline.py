@@ -16,13 +16,20 @@ PIECES = "epoch long, worker long, k1 long, k2 long, place long, is_remote boole
 
 
 def slices(trace: DataFrame, halves: DataFrame, window: int) -> DataFrame:
-    """All records of an epoch's timelines: trace, missing ends, and two bounds for every worker with a record."""
+    """All records of an epoch's timelines: trace, missing ends, and two bounds for every worker with a record.
+
+    A timeline's first record brings the bounds along, in the shuffle that the windows after it need anyway.
+    """
+    fields = ("ts", "rank", "seq", "event_type", "activity", "operator_id")
     own = lambda df, rank: df.select("epoch", F.col("local_worker").alias("worker"), "ts", F.lit(rank).alias("rank"), "seq", "event_type", F.col("activity_type").alias("activity"), "operator_id")
     rows = own(trace, 0).unionByName(own(halves, 1))
     low, high = bounds(window)
-    ends = rows.select("epoch", "worker").distinct().select("epoch", "worker", F.explode(F.array(low, high)).alias("ts"))
-    bogus = ends.select("epoch", "worker", "ts", F.lit(2).alias("rank"), F.lit(0).cast("long").alias("seq"), F.lit(BOGUS).alias("event_type"), F.lit(UNKNOWN).alias("activity"), F.lit(None).cast("long").alias("operator_id"))
-    return rows.unionByName(bogus)
+    kinds = {f.name: f.dataType for f in rows.schema.fields}
+    bound = lambda t: F.struct(*(v.cast(kinds[n]).alias(n) for n, v in zip(fields, (t, F.lit(2), F.lit(0), F.lit(BOGUS), F.lit(UNKNOWN), F.lit(None)), strict=True)))
+    record = F.struct(*fields)
+    first = F.row_number().over(W.partitionBy("epoch", "worker").orderBy(*_ORDER)) == 1
+    made = F.when(F.col("first"), F.array(record, bound(low), bound(high))).otherwise(F.array(record))
+    return rows.withColumn("first", first).select("epoch", "worker", F.explode(made).alias("r")).select("epoch", "worker", "r.*")
 
 
 def with_stack(rows: DataFrame) -> DataFrame:

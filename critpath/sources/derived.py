@@ -18,7 +18,7 @@ def from_events(events: DataFrame, workers: int = 8, operators: int = 16) -> Dat
     Errors are messages from a user's worker to the next one, as slow as their value says; all others start and end an
     activity of their worker in turn.
     """
-    base = events.select("event_id", F.unix_micros("ts").alias("ts"), (F.col("user_id") % workers).alias("w"), (F.col("user_id") % operators).alias("op"), "event_type", "value")
+    base = events.select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"), (F.col("user_id") % workers).alias("w"), (F.col("user_id") % operators).alias("op"), "event_type", "value")
     none = F.lit(None).cast("long")
     errors = base.filter("event_type = 'error'")
     next_worker = (F.col("w") + 1) % workers
