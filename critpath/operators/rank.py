@@ -182,7 +182,7 @@ def explore(edges: DataFrame, group: str = "graph", src: str = "src", dst: str =
     rows = edges.withColumns({"_a": F.to_json(F.struct(src)), "_b": F.to_json(F.struct(dst)), "_in": F.col(src).isNull(), "_out": F.col(dst).isNull()})
     if "traverse" not in edges.columns:
         rows = rows.withColumn("traverse", F.lit("Unbounded"))
-    schema = edges.schema.simpleString()[len("struct<") : -1] + ",bc:double"
+    schema, names_kept = edges.schema.simpleString()[len("struct<") : -1] + ",bc:double", edges.columns
 
     def run(table: pa.Table) -> pa.Table:
         a, b = table["_a"].to_pylist(), table["_b"].to_pylist()
@@ -197,7 +197,7 @@ def explore(edges: DataFrame, group: str = "graph", src: str = "src", dst: str =
         last = np.array([number(x, src) for x, k in zip(a, lead_out, strict=True) if k], np.int64)
         factor, plus = CAPACITIES[capacity](np.array(table["traverse"].to_pylist(), object)[inner])
         bc = spread(len(names), s, d, first, factor, plus) * spread(len(names), d, s, last, factor, plus)
-        kept = table.filter(pa.array(inner)).select(edges.columns)
+        kept = table.filter(pa.array(inner)).select(names_kept)
         return kept.append_column("bc", pa.array(bc, pa.float64()))
 
     return rows.groupBy(group).applyInArrow(run, schema)
