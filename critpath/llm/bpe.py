@@ -37,7 +37,7 @@ MARGIN = 16
 #: Entries of a worker's cache of encoded stretches, and their longest length.
 CACHE_ROWS, CACHE_CHARS = 400_000, 32
 _BEYOND = regex.compile(r"[԰-\U0010FFFF]")
-_BREAK = re.compile(r"\S\s")
+_BREAK = regex.compile(r"\S\s")
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
