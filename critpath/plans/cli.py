@@ -1,4 +1,4 @@
-"""Command line: python -m critpath.plans.cli analyse | generate | convert-log | convert-timeline | verify."""
+"""Command line: python -m critpath.plans.cli analyse | generate | convert-log | convert-timeline | draw | chrome | spans | show | verify."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from critpath.config import Config
 from critpath.operators import prep
 from critpath.plans.pipeline import Analysis
 from critpath.schema import activity_code
-from critpath.sources import eventlog, msgpack, sinks, timeline_json
+from critpath.sources import eventlog, msgpack, sinks, svg, timeline_json
 from critpath.sources.synth import Pyramid, pyramid
 
 
@@ -63,6 +63,15 @@ def parser() -> argparse.ArgumentParser:
     t.add_argument("output")
     t.add_argument("--reschedule", action="store_true")
     t.add_argument("--preserve-timestamps", action="store_true")
+    d = sub.add_parser("draw", help="an SVG of a trace")
+    d.add_argument("input")
+    d.add_argument("output")
+    d.add_argument("--skip-ts", type=int, default=0)
+    d.add_argument("--take", type=int, default=5000)
+    for name, text in (("chrome", "a trace viewer's JSON"), ("spans", "matched spans as JSON"), ("show", "records as text")):
+        c = sub.add_parser(name, help=text)
+        c.add_argument("input")
+        c.add_argument("output")
     v = sub.add_parser("verify", help="check a trace's nesting")
     v.add_argument("input")
     return p
@@ -79,6 +88,14 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         save(spark, trace.drop("app"), args.output)
     elif args.command == "convert-timeline":
         save(spark, timeline_json.read(spark, args.input, args.dictionary, preserve_timestamps=args.preserve_timestamps, preserve_tid=not args.reschedule).drop("app"), args.output)
+    elif args.command == "draw":
+        svg.write(load(spark, args.input), args.output, skip_ts=args.skip_ts, take=args.take)
+    elif args.command == "chrome":
+        sinks.write_chunked(sinks.chrome_json(load(spark, args.input)), args.output, ["ts", "seq", "place"])
+    elif args.command == "spans":
+        sinks.spans(load(spark, args.input)).write.mode("overwrite").json(args.output)
+    elif args.command == "show":
+        sinks.record_lines(load(spark, args.input)).sort("seq").select("value").write.mode("overwrite").text(args.output)
     elif args.command == "verify":
         trace = load(spark, args.input)
         found = {"double starts": prep.double_starts(trace), "underflows": prep.underflows(trace), "misnested": prep.nesting(trace).filter("misnested > 0")}

@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from critpath.config import Config
 from critpath.operators import messages, pag, prep, rank, summary, timeline
 from critpath.plans.pipeline import Analysis
-from critpath.schema import ACTIVITIES, RECORD_COLUMNS, UNKNOWN, WAITING, is_worker_local
-from critpath.sources import sinks
+from critpath.plans.sweep import Sweep
+from critpath.schema import ACTIVITIES, BARRIER_PROCESSING, RECORD_COLUMNS, UNKNOWN, WAITING, is_worker_local
+from critpath.sources import sinks, svg
 from critpath.sources.derived import HOUR, MINUTE, TEN_SECONDS, from_events
+from critpath.sources.synth import Pyramid, pyramid
 
 CONFIG = Config(window=HOUR, threshold=MINUTE, waiting_message=TEN_SECONDS)
 DELAY = 30_000_000
@@ -253,7 +255,30 @@ def single_path_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _analysis(spark, sf_dir).path_summaries(pick="first")
 
 
+def pyramid_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A generated trace: activities of four workers in three phases, without messages and by worker and time."""
+    shape = Pyramid(workers=4, phases=3, phase=130_000, prefix=None, suffix=None, infix=None, send=None, receive=None)
+    return pyramid(spark, shape).select("ts", "local_worker", "activity_type", "event_type", "operator_id")
+
+
+def pyramid_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The analysis of two generated workers, whose result is known."""
+    shape = Pyramid(workers=2, phase=1_000_000_000, infix=BARRIER_PROCESSING)
+    return Analysis.of(pyramid(spark, shape), Config(window=1_000_000_000, threshold=1000)).summaries
+
+
+def sweep_path_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Epochs, nodes and weight of two windows with two thresholds."""
+    runs = Sweep(trace_of(spark, sf_dir), CONFIG, (HOUR, 2 * HOUR), (MINUTE, 5 * MINUTE)).summaries()
+    return runs.groupBy("window", "threshold").agg(F.countDistinct("epoch").alias("epochs"), F.sum("count").alias("edges"), F.sum("weight").alias("weight"))
+
+
+def activity_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return svg.lanes(trace_of(spark, sf_dir)).select("worker", "lane", "start", "stop", "activity", "operator_id")
+
+
 QUERIES = {f.__name__: f for f in (
+    pyramid_trace, pyramid_summary, sweep_path_totals, activity_lanes,
     trace_records, epoch_counts, workers, activity_dim_join, message_delay_clip, message_edges, message_halfedges, message_matched_only, message_unmatched_send,
     message_unmatched_recv, message_latency_histogram, duplicate_sends, local_activity_edges, local_activity_edges_grouped, worker_timeline, gap_fill_edges, waiting_edges,
     no_insert_waiting_variant, start_end_nodes, broken_chains, pag_edges_traversal, pag_stage_counts, delayed_message_block, edge_betweenness, edge_betweenness_waiting_one, path_counts, cp_summary,
@@ -311,6 +336,12 @@ bp AS (SELECT epoch, (epoch + 1) * W AS ts, worker FROM who UNION ALL SELECT g.e
 fc AS (SELECT epoch, ts, worker, count(*) AS n FROM fp GROUP BY ALL), bcn AS (SELECT epoch, ts, worker, count(*) AS n FROM bp GROUP BY ALL),
 rk AS (SELECT g.*, CAST(CASE WHEN traverse = 'Block' THEN 0 ELSE coalesce(fc.n, 0) * coalesce(bcn.n, 0) END AS DOUBLE) AS bc FROM g
   LEFT JOIN fc ON fc.epoch = g.epoch AND fc.ts = g.src_ts AND fc.worker = g.src_worker LEFT JOIN bcn ON bcn.epoch = g.epoch AND bcn.ts = g.dst_ts AND bcn.worker = g.dst_worker)"""
+#: With waiting_one a path may also begin after, and end before, an edge that blocks; such an edge counts once itself.
+_PATHS_ONE = (
+    _PATHS.replace("AS ts, worker FROM who UNION ALL SELECT g.epoch, g.dst_ts", "AS ts, worker FROM who UNION ALL SELECT epoch, dst_ts, dst_worker FROM g WHERE traverse = 'Block') UNION ALL SELECT g.epoch, g.dst_ts")
+    .replace("AS ts, worker FROM who UNION ALL SELECT g.epoch, g.src_ts", "AS ts, worker FROM who UNION ALL SELECT epoch, src_ts, src_worker FROM g WHERE traverse = 'Block') UNION ALL SELECT g.epoch, g.src_ts")
+    .replace("AS (SELECT epoch, epoch * W - 1", "AS ((SELECT epoch, epoch * W - 1").replace("AS (SELECT epoch, (epoch + 1)", "AS ((SELECT epoch, (epoch + 1)").replace("'Block' THEN 0", "'Block' THEN 1")
+)
 _SUMMARY = """,
 sm AS (SELECT epoch, edge_type AS activity, CAST(coalesce(operator_id, 255) % 256 AS INTEGER) AS operator, src_worker AS src, CASE WHEN edge_type IN (8, 9, 10) THEN dst_worker ELSE src_worker END AS dst,
   CASE WHEN src_ts = epoch * W - 1 AND dst_ts = (epoch + 1) * W THEN 'B' WHEN src_ts = epoch * W - 1 THEN 'S' WHEN dst_ts = (epoch + 1) * W THEN 'E' ELSE 'N' END AS crosses,
@@ -323,9 +354,9 @@ walk AS (SELECT best.epoch, CAST(0 AS BIGINT) AS step, best.src_ts, best.src_wor
   UNION ALL SELECT best.epoch, walk.step + 1, best.src_ts, best.src_worker, best.dst_ts, best.dst_worker, best.edge_type, best.operator_id FROM walk JOIN best ON best.epoch = walk.epoch AND best.src_ts = walk.dst_ts AND best.src_worker = walk.dst_worker)"""
 
 
-def _sql(parts: str, select: str, insert: str = "true") -> str:
+def _sql(parts: str, select: str, insert: str = "true", window: str = _W, threshold: str = "60000000") -> str:
     body = f"WITH RECURSIVE {parts}\n{select}"
-    for name, value in ((" W ", f" {_W} "), (" W)", f" {_W})"), (" W,", f" {_W},"), ("INSERT", insert)):
+    for name, value in ((" W ", f" {window} "), (" W)", f" {window})"), (" W,", f" {window},"), ("INSERT", insert), (">= 60000000", f">= {threshold}")):
         body = body.replace(name, value)
     return body
 
@@ -350,6 +381,18 @@ inf AS (SELECT seq, ts, local_worker, activity_type, event_type, max(CASE event_
 _NUMBERED = ", ".join(EDGE)
 
 ORACLE_SQL = {
+    # slots of 10,000 ticks: worker w is active for a slot after 2w slots and before the last 2w, the last one without a break
+    "pyramid_trace": """SELECT t + v.off AS ts, w AS local_worker, 4 AS activity_type, v.e AS event_type, w AS operator_id FROM (
+  SELECT 1000000000000000 + p * 130000 AS t, p * 130000 + 1000000000000000 + 129999 AS q, w FROM range(3) a(p), range(4) b(w)) x
+  JOIN (VALUES (0, 0, 1), (0, 10000, 2), (0, 119999, 1), (0, 129999, 2), (1, 20000, 1), (1, 30000, 2), (1, 99999, 1), (1, 109999, 2),
+    (2, 40000, 1), (2, 50000, 2), (2, 79999, 1), (2, 89999, 2), (3, 60000, 1), (3, 69999, 2)) v(k, off, e) ON v.k = w""",
+    "pyramid_summary": """SELECT CAST(1000000 AS BIGINT) AS epoch, CAST(a AS INTEGER) AS activity, CAST(o AS INTEGER) AS operator, CAST(s AS BIGINT) AS src, CAST(d AS BIGINT) AS dst, c AS crosses,
+  CAST(b AS DOUBLE) AS bc, CAST(wb AS DOUBLE) AS weighted_bc, CAST(1 AS BIGINT) AS count, CAST(w AS BIGINT) AS weight FROM (VALUES
+  (4, 0, 0, 0, 'S', 2, 400000002, 200000001), (4, 0, 0, 0, 'E', 2, 400000002, 200000001), (5, 0, 0, 0, 'N', 1, 599999999, 599999999), (4, 1, 1, 1, 'N', 1, 199999999, 199999999),
+  (12, 1, 1, 1, 'S', 0, 0, 400000001), (12, 1, 1, 1, 'E', 0, 0, 400000001), (10, 255, 0, 1, 'N', 1, 200000000, 200000000), (10, 255, 1, 0, 'N', 1, 200000000, 200000000)) t(a, o, s, d, c, b, wb, w)""",
+    # a worker's activities never overlap here, so all are in the first lane; the last may be open
+    "activity_lanes": _sql(_TRACE, """SELECT local_worker AS worker, CAST(0 AS BIGINT) AS lane, ts AS start, coalesce(stop, fin) AS stop, activity_type AS activity, operator_id FROM (
+  SELECT *, lead(ts) OVER (PARTITION BY local_worker ORDER BY ts, seq) AS stop, max(ts) OVER (PARTITION BY local_worker) AS fin FROM trace WHERE event_type IN (1, 2)) WHERE event_type = 1"""),
     "trace_records": _sql(_TRACE, f"SELECT {', '.join(RECORD_COLUMNS)} FROM trace"),
     "epoch_counts": _sql(_TRACE, "SELECT epoch, count(*) AS n FROM e GROUP BY epoch"),
     "workers": _sql(_TRACE, "SELECT DISTINCT local_worker AS worker FROM trace"),
@@ -374,6 +417,12 @@ ORACLE_SQL = {
     "pag_stage_counts": _sql(_G, "SELECT a.epoch, a.n AS forward, a.n AS backward, b.n AS edges, 2 * a.n + b.n AS pag_output FROM (SELECT epoch, count(*) AS n FROM who GROUP BY 1) a JOIN (SELECT epoch, count(*) AS n FROM g GROUP BY 1) b ON a.epoch = b.epoch"),
     "delayed_message_block": _sql(_G, f"SELECT {_EDGE}, traverse FROM g WHERE traverse = 'Block' AND src_worker <> dst_worker"),
     "edge_betweenness": _sql(_R, f"SELECT {_EDGE}, bc FROM rk"),
+    "edge_betweenness_waiting_one": _sql(_G + _PATHS_ONE, f"SELECT {_EDGE}, bc FROM rk"),
+    "cp_summary_six_hours": _sql(_S, "SELECT * FROM sm", window=str(6 * HOUR)),
+    "sweep_path_totals": " UNION ALL ".join(
+        "SELECT * FROM (" + _sql(_G, f"SELECT CAST({w} AS BIGINT) AS window, CAST({t} AS BIGINT) AS threshold, count(DISTINCT epoch) AS epochs, count(*) AS edges, CAST(sum(dst_ts - src_ts) AS BIGINT) AS weight FROM g", window=str(w), threshold=str(t)) + ")"
+        for w in (HOUR, 2 * HOUR) for t in (MINUTE, 5 * MINUTE)
+    ),
     "path_counts": _sql(_R + _PATHCOUNT, "SELECT * FROM pc"),
     "cp_summary": _sql(_S, "SELECT * FROM sm"),
     "cp_normalized": _sql(_S + _PATHCOUNT, f"SELECT sm.epoch - (SELECT min(epoch) FROM pc) AS epoch, activity, operator, src, dst, crosses, bc, weighted_bc, count, weight, paths, CASE WHEN paths > 0 THEN weighted_bc / (paths * CAST({_W} AS DOUBLE)) ELSE 0 END AS normalized_bc, weight / CAST({_W} AS DOUBLE) AS normalized_weight, count / CAST(3600 AS DOUBLE) AS normalized_count FROM sm JOIN pc ON sm.epoch = pc.epoch"),

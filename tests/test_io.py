@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from critpath.config import Config
 from critpath.plans import cli
 from critpath.plans.pipeline import Analysis
+from critpath.plans.sweep import Sweep, steps
 from critpath.schema import RECORD
-from critpath.sources import eventlog, harness_text, msgpack, sinks, timeline_json
+from critpath.sources import eventlog, harness_text, msgpack, sinks, svg, timeline_json
 from critpath.sources.synth import Pyramid, pyramid
 from critpath.streaming.live import analyse_stream
 
@@ -110,6 +111,19 @@ def test_viewers(spark, tmp_path):
     assert text.startswith("digraph") and text.count("subgraph") == 2 and text.rstrip().endswith("}")
 
 
+def test_lanes(spark):
+    rows = [(0, 10, 0, 2, 1, None, None, 1), (1, 20, 0, 4, 1, None, None, 2), (2, 30, 0, 2, 2, None, None, 1), (3, 40, 0, 6, 1, None, None, 3), (4, 50, 0, 9, 2, None, None, None)]
+    got = sorted((r.lane, r.start, r.stop, r.activity) for r in svg.lanes(spark.createDataFrame(rows, RECORD)).collect())
+    assert got == [(0, 10, 30, 2), (0, 40, 50, 6), (1, 20, 50, 4)]
+    assert svg.drawing(spark.createDataFrame([], RECORD)).count() == 0
+
+
+def test_sweep(spark):
+    sweep = Sweep(pyramid(spark, Pyramid(workers=2, phase=SECOND)), Config(SECOND, 1000), steps(SECOND // 2, SECOND, 2), [1000, 10_000])
+    assert sweep.paths().select("window", "threshold").distinct().count() == 4
+    assert sweep.normalised(SECOND).filter("normalized_bc < 0 or normalized_bc > 1.01").count() == 0 and sweep.summaries().count() > 0
+
+
 def test_harness_text(spark, tmp_path):
     (tmp_path / "out").write_text("EPOCH input 3 100\nEPOCH summary 3 170\nCOUNT 3 0 paths 12\nSUMMARY 3,4,0,0,0,S,2,40,1,20\nnoise\n")
     text = harness_text.lines(spark, str(tmp_path / "out"))
@@ -142,6 +156,9 @@ def test_command_line(spark, tmp_path, capsys):
     lines = {r.value for r in spark.read.text(str(tmp_path / "s")).collect()}
     assert "SUMMARY 1000000,4,0,0,0,S,2,400000002,1,200000001" in lines
     assert msgpack.read(spark, str(tmp_path / "g")).count() == 16
+    for command, mark in (("draw", "<rect"), ("chrome", '"ph":"B"'), ("spans", '"corr_id"'), ("show", "BarrierProcessing Start")):
+        assert cli.main([command, out, str(tmp_path / command)], spark) == 0
+        assert mark in "".join(open(f).read() for f in glob.glob(str(tmp_path / command / "part-*")))
     with pytest.raises(ValueError, match="within 0 and 1"):
         eventlog.scheduled(None, delay_split=2)
 
