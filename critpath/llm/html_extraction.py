@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from critpath.llm import boosting, html_training
 from critpath.llm.html_tree import SILENT, Node, parse, walk
 
-TRAINING_PAGES = 700
+TRAINING_PAGES = 1500
 _MARKS = {"keep", "drop"}
 
 
@@ -136,7 +136,7 @@ def trained(n: int = TRAINING_PAGES) -> bytes:
                 counts[w][y] += 1
     odds = {w: math.log(a[1] / a[0]) for w, a in counts.items() if sum(a) >= 5}
     x = np.concatenate([features(nodes, odds) for nodes in pages])
-    return pickle.dumps(Extractor(odds, boosting.fit(x, np.array(sum(labels, []), float))))
+    return pickle.dumps(Extractor(odds, boosting.fit(x, np.array(sum(labels, []), float), trees=90)))
 
 
 def extract(pages: DataFrame, carry: list[str] | None = None) -> DataFrame:

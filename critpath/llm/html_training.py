@@ -11,13 +11,13 @@ import random
 #: What pages name their parts, by kind: element names, then class and id words. Common public naming habits.
 KINDS = {
     "menu": ("nav nav ul div div", "nav menu navbar navigation topnav breadcrumb breadcrumbs pagination pager tabs links sitemap toolbar dropdown mainmenu submenu skip"),
-    "header": ("header header div div", "header masthead topbar branding logo siteheader top hero tagline"),
-    "footer": ("footer footer div div section", "footer sitefooter bottom copyright legal colophon imprint credits foot"),
+    "header": ("header header div div", "header masthead topbar branding logo site siteheader page global top hero tagline title"),
+    "footer": ("footer footer div div section", "footer site global page sitefooter bottom copyright legal colophon imprint credits foot"),
     "sidebar": ("aside aside div div section", "sidebar side rail widget widgets related recommended trending popular more stories tagcloud tags archive archives toc recirculation readnext also links secondary"),
     "notice": ("div div section aside p", "cookie cookies consent notice alert gdpr newsletter subscribe subscription signup popup modal overlay paywall warning message privacy banner dialog toast announcement disclaimer"),
-    "advert": ("div div aside ins section p", "ad ads advert adverts advertisement adsense sponsor sponsored sponsors promo promotion promoted dfp banner commercial adslot outbrain taboola"),
+    "advert": ("div div aside ins section p", "adsbygoogle adunit adbox adcontainer adwrapper adslot googleads ad ads advert adverts advertisement adsense sponsor sponsored sponsors promo promotion promoted dfp banner commercial adslot outbrain taboola"),
     "form": ("form form form div", "form search login register contact signup comment email input searchbox"),
-    "comments": ("section section div ol ul", "comments comment commentlist respond replies reply discussion disqus reader readers feedback responses thread reviews usercomments"),
+    "comments": ("section section div ol ul", "comments comment commentlist thread respond replies reply discussion disqus reader readers feedback responses thread reviews usercomments"),
     "share": ("div ul section", "share social sharing follow buttons icons facebook twitter likes print"),
 }
 ARTICLE = ("article article main div div section", "article content post entry story body text main page articlebody postbody entrycontent storybody maincontent prose markdown")
@@ -75,9 +75,13 @@ class Writer:
 
     def content(self) -> str:
         r, parts = self.r, []
-        for _ in range(r.randint(1, 14)):
+        for _ in range(r.choice([1, 1, 2, 2, 3, 4, 5, 7, 10, 14])):
             kind = r.random()
-            text = self.words(1, 5) if r.random() < 0.15 else self.words(12, 120)
+            if r.random() < 0.12:  # short lines of an article may be mostly links
+                inner = f"{self.words(1, 3, False)} {self.link(self.words(1, 3, False))} {self.words(1, 4)}" if r.random() < 0.7 else self.link(self.words(1, 5, False))
+                parts.append(f"<p>{inner}</p>" if r.random() < 0.7 else f"<ul><li>{inner}</li><li>{self.words(1, 6)}</li></ul>")
+                continue
+            text = self.words(1, 5) if r.random() < 0.12 else self.words(5, 14) if r.random() < 0.25 else self.words(12, 120)
             if r.random() < 0.2:
                 text += " " + self.link(self.words(1, 4, False)) + " " + self.words(3, 20)
             if kind < 0.7:
@@ -93,7 +97,7 @@ class Writer:
             else:
                 parts.append(f"<figure><img src='x'><figcaption>{self.words(3, 14)}</figcaption></figure>")
         head = f"<h1>{self.words(2, 10, False)}</h1>" if r.random() < 0.85 else ""
-        if head and r.random() < 0.2:
+        if head and r.random() < 0.35:
             head = f'<header data-testid="keep">{head}</header>'
         for _ in range(r.randint(0, 2) if r.random() < 0.5 else 0):
             parts.insert(r.randint(0, len(parts)), self.boilerplate(r.choice(["advert", "notice", "share", "sidebar", "form"])))

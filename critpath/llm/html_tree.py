@@ -100,7 +100,7 @@ def parse(page: str | None) -> Node:
                 if node is not None and t not in ("tr", "tbody", "thead", "tfoot") and t != "p":
                     break
         node = None
-        if tag not in INLINE:
+        if tag not in INLINE or tag == "ins" and m[3].strip():  # with attributes, ins is a common advert slot
             order += 1
             node = Node(tag, tokens_of(m[3]) if m[3] else [], block, order, block.depth + 1)
             block.children.append(node)
