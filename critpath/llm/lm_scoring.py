@@ -36,7 +36,7 @@ from critpath.llm.common import crc_of, cut, release, words_of
 
 FOLDS, HELD_OUT = 5, 1
 #: Tokens of a block, and entries of a shard on average.
-BLOCK_TOKENS, SHARD_ENTRIES = 3_000_000, 3_000_000
+BLOCK_TOKENS, SHARD_ENTRIES = 2_000_000, 2_000_000
 _END_HASH = np.uint64(0x5EED0FE0DD0C0FE5)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 BLOCK = "block string, doc_ids array<bigint>, held_out array<boolean>, lengths binary, tokens binary, hashes binary, n_tokens long"
