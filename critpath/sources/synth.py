@@ -34,7 +34,7 @@ def pyramid(spark: SparkSession, shape: Pyramid) -> DataFrame:
     w + 1 one slot after it began, and gets it back one slot before it ends."""
     k, length = shape.workers, shape.phase
     slot = length // (4 * (k - 1) + 1)
-    cells = spark.range(shape.phases).select(F.col("id").alias("phase")).crossJoin(spark.range(k).select(F.col("id").alias("w")))
+    cells = spark.range(shape.phases * k).select(F.expr(f"id div {k}").alias("phase"), (F.col("id") % k).alias("w"))
     p = F.lit(shape.origin) + F.col("phase") * length
     q, w = p + length - 1, F.col("w")
     start, end = p + (2 * w - 1) * slot, q - (2 * w - 1) * slot
