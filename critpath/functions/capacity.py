@@ -19,3 +19,8 @@ def capacity(name: str, traverse: Column, value: Column) -> Column:
     if name == "unbound":
         return value
     return F.when(traverse == "Block", F.lit(1.0 if name == "waiting_one" else 0.0)).when(traverse == "Unbounded", value).otherwise(F.raise_error(F.lit("an edge without traversal")).cast("double"))
+
+
+def routing_hash(*columns: Column | str) -> Column:
+    """A 64-bit hash of columns, as for dealing rows out by hand."""
+    return F.xxhash64(*columns)

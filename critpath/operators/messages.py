@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -26,24 +27,28 @@ def bounds(window: int) -> tuple[Column, Column]:
     return F.col("epoch") * window - 1, (F.col("epoch") + 1) * window
 
 
-def outer(trace: DataFrame) -> DataFrame:
-    """Sends and receives of each epoch side by side (s, r), by (epoch, sender, correlator); null correlators match.
+def outer(trace: DataFrame, start: int = SENT, end_event: int = RECEIVED) -> DataFrame:
+    """Sends and receives (or any other two events) of each epoch side by side (s, r), by (epoch, sender, correlator); null correlators match.
 
     A row for each receive, and one for a send that has none. Of several sends with one key in an epoch, the first
     counts (duplicate_sends has the others). Both ends of a key meet in one window, so there is one shuffle and no join.
     """
     end = F.struct("ts", "seq", "local_worker", "remote_worker", "activity_type", "operator_id", "correlator_id")
-    is_sent, is_received = F.col("event_type") == SENT, F.col("event_type") == RECEIVED
+    is_sent, is_received = F.col("event_type") == start, F.col("event_type") == end_event
     key = W.partitionBy("epoch", "sender", "correlator_id")
     rows = communication(trace).withColumn("sender", sender()).withColumns({"own": end, "s": F.min(F.when(is_sent, end)).over(key), "any": F.max(is_received).over(key)})
     lone = is_sent & ~F.col("any") & (F.col("own.ts") == F.col("s.ts")) & (F.col("own.seq") == F.col("s.seq"))
     return rows.filter(is_received | lone).select("epoch", "s", F.when(is_received, F.col("own")).alias("r"))
 
 
-def pair(trace: DataFrame, window: int, strict: bool = False) -> Paired:
-    """Edges of matched messages and of those that leave or enter an epoch; strict: bad pairs are errors."""
+def pair(trace: DataFrame, window: int, strict: bool = False, check: Callable[[Column, Column], Column] | None = None) -> Paired:
+    """Edges of matched messages and of those that leave or enter an epoch; strict: bad pairs are errors; check(sent,
+    received): what must hold for a matched pair besides."""
     low, high = bounds(window)
     both = outer(trace)
+    if check is not None:
+        holds = F.col("s").isNull() | F.col("r").isNull() | F.coalesce(check(F.col("s"), F.col("r")), F.lit(False))
+        both = both.withColumn("r", F.when(~holds, F.raise_error(F.lit("a matched pair fails its check")).cast(both.schema["r"].dataType)).otherwise(F.col("r")))
     if strict:
         wrong = (F.col("s.activity_type") != F.col("r.activity_type")) | (F.col("s.remote_worker") != F.col("r.local_worker")) | (F.col("s").isNull() & F.col("r.remote_worker").isNull())
         both = both.withColumn("r", F.when(F.coalesce(wrong, F.lit(False)), F.raise_error(F.lit("the two ends of a message differ")).cast(both.schema["r"].dataType)).otherwise(F.col("r")))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from critpath.config import Config
 from critpath.plans.pipeline import Analysis
@@ -26,6 +26,28 @@ def closed_epochs(stream: DataFrame, window: int, ticks_per_us: int, delay: str
     return timed.groupBy(F.window("event_time", f"{window // ticks_per_us} microseconds").alias("w"), "local_worker").agg(F.collect_list(record).alias("records"))
 
 
+class Progress(StreamingQueryListener):
+    """Rows (batch, watermark, input rows, seconds, finished) of a query's micro-batches: how far epochs are closed and how
+    long that took. Register it with spark.streams.addListener."""
+
+    def __init__(self) -> None:
+        self.rows: list[tuple[int, str | None, int, float]] = []
+        self.ended = False
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        p = event.progress
+        self.rows.append((p.batchId, p.eventTime.get("watermark"), p.numInputRows, p.durationMs.get("triggerExecution", 0) / 1000))
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        self.ended = True
+
+
 def analyse_stream(stream: DataFrame, config: Config, ticks_per_us: int, sink: Callable[[DataFrame, int], None], checkpoint: str, delay: str = "0 seconds", what: Callable[[Analysis], DataFrame] = lambda a: a.summaries, trigger: dict | None = None) -> StreamingQuery:
     """Run the batch plan on the epochs that each micro-batch closes, and give its result to sink(df, batch_id).
 

@@ -2,11 +2,13 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from critpath.config import Config
+from critpath.functions.capacity import CAPACITIES, capacity, routing_hash
 from critpath.operators import messages, pag, prep, rank, summary, timeline
 from critpath.plans.pipeline import Analysis
 from critpath.schema import (
@@ -178,6 +180,23 @@ def test_bad_messages(spark):
         messages.pair(sliced, 1000, strict=True).edges.collect()
 
 
+def test_own_checks_of_pairs(spark):
+    rows = [(10, 0, DATA_MESSAGE, SENT, 1, 1, None), (20, 1, DATA_MESSAGE, RECEIVED, 1, 0, None), (30, 0, DATA_MESSAGE, SENT, 2, 1, None)]
+    sliced = prep.with_epoch(trace(spark, rows), 1000)
+    assert messages.pair(sliced, 1000, check=lambda s, r: s["ts"] <= r["ts"]).edges.count() == 2
+    with pytest.raises(Exception, match="fails its check"):
+        messages.pair(sliced, 1000, check=lambda s, r: s["ts"] > r["ts"]).edges.collect()
+
+
+def test_capacities(spark):
+    rows = spark.createDataFrame([("Block", 5.0), ("Unbounded", 5.0)], "t string, v double")
+    got = {n: [r[0] for r in rows.select(capacity(n, F.col("t"), F.col("v"))).collect()] for n in CAPACITIES}
+    assert got == {"no_waiting": [0.0, 5.0], "waiting_one": [1.0, 5.0], "unbound": [5.0, 5.0]}
+    for n, (factor, plus) in ((n, f(np.array(["Block", "Unbounded"], object))) for n, f in CAPACITIES.items()):
+        assert (factor * 5.0 + plus).tolist() == got[n]
+    assert rows.select(routing_hash("t")).distinct().count() == 2
+
+
 def test_received_before_sent_is_reported(spark):
     rows = [(100, 0, PROCESSING, START, None, None, 0), (200, 0, DATA_MESSAGE, RECEIVED, 1, 1, None), (300, 1, DATA_MESSAGE, SENT, 1, 0, None), (250, 0, DATA_MESSAGE, SENT, 2, 1, None), (280, 1, DATA_MESSAGE, RECEIVED, 2, 0, None)]
     ranked = rank.betweenness(pag.construct(trace(spark, rows), Config(window=1000, threshold=0)))

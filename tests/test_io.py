@@ -3,6 +3,7 @@
 import glob
 import json
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from critpath.plans.sweep import Sweep, steps
 from critpath.schema import RECORD
 from critpath.sources import eventlog, harness_text, msgpack, sinks, svg, timeline_json
 from critpath.sources.synth import Pyramid, pyramid
-from critpath.streaming.live import analyse_stream
+from critpath.streaming.live import Progress, analyse_stream
 
 SECOND = 1_000_000_000
 DATA = "/root/testdata/sf0.001"
@@ -142,8 +143,16 @@ def test_stream_is_the_batch(spark, tmp_path):
         part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     found = []
     stream = spark.readStream.schema(RECORD).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    seen = Progress()
+    spark.streams.addListener(seen)
     query = analyse_stream(stream, config, 1000, lambda df, _: found.extend(map(tuple, df.collect())), str(tmp_path / "cp"), trigger={"availableNow": True})
     query.awaitTermination(120)
+    for _ in range(50):  # listeners are told a little later
+        if seen.ended:
+            break
+        time.sleep(0.2)
+    spark.streams.removeListener(seen)
+    assert sum(r[2] for r in seen.rows) == t.filter(F.expr(f"ts div {SECOND} < 1000004")).count() + 1 and seen.rows[-1][1] > "1970-01-12"
     want = sorted(tuple(r) for r in Analysis.of(t, config).summaries.filter("epoch < 1000004").collect())
     assert sorted(x for x in found if x[0] < 1000004) == want
 
