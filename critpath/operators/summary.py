@@ -29,15 +29,15 @@ def weight() -> Column:
     return F.coalesce(F.abs(F.col("dst_ts") - F.col("src_ts")), F.lit(0))
 
 
-def summarise(ranked: DataFrame, window: int, wide_operators: bool = False) -> DataFrame:
+def summarise(ranked: DataFrame, window: int, wide_operators: bool = False, *carry: str) -> DataFrame:
     """epoch, activity, operator, src, dst, crosses with sums of bc, bc * weight, edges and weight; edges that paths
-    couldn't settle count with bc 0."""
+    couldn't settle count with bc 0. carry: columns that are alike within an epoch and stay."""
     bc, local = F.nanvl("bc", F.lit(0.0)), is_worker_local("edge_type")
     rows = ranked.select(
         "epoch", F.col("edge_type").alias("activity"), operator_key(wide_operators).alias("operator"), F.col("src_worker").alias("src"),
-        F.when(local, F.col("src_worker")).otherwise(F.col("dst_worker")).alias("dst"), crosses(window).alias("crosses"), bc.alias("bc"), weight().alias("weight"),
+        F.when(local, F.col("src_worker")).otherwise(F.col("dst_worker")).alias("dst"), crosses(window).alias("crosses"), bc.alias("bc"), weight().alias("weight"), *carry,
     )
-    return rows.groupBy("epoch", "activity", "operator", "src", "dst", "crosses").agg(
+    return rows.groupBy("epoch", "activity", "operator", "src", "dst", "crosses", *carry).agg(
         F.sum("bc").alias("bc"), F.sum(F.col("bc") * F.col("weight")).alias("weighted_bc"), F.count("*").alias("count"), F.sum("weight").alias("weight")
     )
 
@@ -60,6 +60,21 @@ def normalised(summaries: DataFrame, paths: DataFrame, window: int, ticks_per_se
     ).withColumn("epoch", F.col("epoch") - F.col("_first")).drop("_first")
 
 
+def normalised_once(ranked: DataFrame, origin: DataFrame, window: int, ticks_per_second: int, wide_operators: bool = False) -> DataFrame:
+    """The same as normalised from ranked edges alone: paths are those of the edges that leave an epoch's first tick,
+    summed beside the groups, so the ranking runs once. origin: one row, the first epoch."""
+    low, _ = bounds(window)
+    whole = F.when(F.col("src_ts") == low, F.nanvl("bc", F.lit(0.0)).cast("long")).otherwise(0)
+    counted = ranked.withColumn("paths", F.sum(whole).over(W.partitionBy("epoch")))
+    rows = summarise(counted, window, wide_operators, "paths").crossJoin(F.broadcast(origin.select(F.col("epoch").alias("_first"))))  # one row
+    return rows.select(
+        (F.col("epoch") - F.col("_first")).alias("epoch"), *(c for c in rows.columns if c not in ("epoch", "_first")),
+        F.when(F.col("paths") > 0, F.col("weighted_bc") / (F.col("paths") * F.lit(float(window)))).otherwise(0.0).alias("normalized_bc"),
+        (F.col("weight") / F.lit(float(window))).alias("normalized_weight"),
+        (F.col("count") / F.lit(window / ticks_per_second)).alias("normalized_count"),
+    )
+
+
 def grouped(summaries: DataFrame, group: list[str], columns: list[str], workers: list[int] | None = None, operators: list[int] | None = None, activities: list[int] | None = None, filter_messages: bool = False, mean_over: list[str] | None = None) -> DataFrame:
     """Sums of columns by group and epoch after the filters, then if asked their means by mean_over."""
     rows = summaries

@@ -5,9 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from critpath.config import Config
-from critpath.operators import pag, rank, summary
+from critpath.operators import pag, prep, rank, summary
 
 
 @dataclass
@@ -38,4 +39,6 @@ class Analysis:
         return summary.summarise_path(rank.single_path(self.graph, seed, pick))
 
     def normalised(self, ticks_per_second: int) -> DataFrame:
-        return summary.normalised(self.summaries, self.paths, self.config.window, ticks_per_second)
+        sliced = prep.with_epoch(prep.clip_message_delay(self.trace, self.config.message_delay), self.config.window)
+        origin = sliced.agg(F.min("epoch").alias("epoch"))
+        return summary.normalised_once(self.ranked, origin, self.config.window, ticks_per_second, self.config.wide_operators)

@@ -251,6 +251,13 @@ def test_single_path_walks_to_an_end(spark):
     assert rank.seed_nodes(graph).filter("epoch = 1000000").count() == 1
 
 
+def test_both_ways_to_normalise(spark):
+    run = Analysis.of(trace(spark, random_trace(3, False)), Config(window=1000, threshold=5))
+    key = lambda df: sorted(map(str, df.select(*sorted(df.columns)).collect()))
+    once, joined = run.normalised(1000), summary.normalised(run.summaries, run.paths, 1000, 1000)
+    assert key(once) == key(joined.select(*once.columns)) and once.count()
+
+
 def test_analytics(spark):
     rows = spark.createDataFrame([(0, "a", 1.0), (0, "b", None), (1, "a", float("nan")), (1, "a", 3.0)], "epoch long, k string, v double")
     assert [(r.value, r.share) for r in summary.cdf(rows, "v").orderBy("value").collect()] == [(0.0, 0.5), (1.0, 0.75), (3.0, 1.0)]
