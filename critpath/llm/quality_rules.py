@@ -10,6 +10,7 @@ a lang column, or for a null or unknown language, the script decides; other colu
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -37,8 +38,11 @@ class Band:
 
 @dataclass(frozen=True)
 class Rules:
+    """short_entropy: few tokens can't reach a band's entropy; this share of what they can reach is enough."""
+
     min_words: int = 50
     max_repeat: float = 0.5
+    short_entropy: float = 0.85
     by_language: dict[str, Band] = field(
         default_factory=lambda: {
             "en": Band((1.85, 8.0), 0.15, (5.4, 11.5)),
@@ -148,7 +152,8 @@ def verdict(m: dict, text: str, lang: str | None, rules: Rules) -> tuple[bool, b
     if failed:
         return True, False
     band = rules.by_language.get(lang or "") or rules.by_script[script_of(text)]
-    good = band.chars[0] <= m["chars_per_token"] <= band.chars[1] and m["byte_share"] <= band.bytes and band.entropy[0] <= m["entropy"] <= band.entropy[1]
+    least = min(band.entropy[0], rules.short_entropy * math.log2(max(2, m["n_tokens"])))
+    good = band.chars[0] <= m["chars_per_token"] <= band.chars[1] and m["byte_share"] <= band.bytes and least <= m["entropy"] <= band.entropy[1]
     return False, good
 
 

@@ -138,6 +138,17 @@ def test_rule_figures():
     assert quality_rules.script_of("привет abc") == "greek, cyrillic" and quality_rules.script_of("123") == "other" and quality_rules.script_of("日本語") == "cjk"
 
 
+def test_verdicts():
+    rules = quality_rules.Rules()
+    m = {"n_words": 60, "n_repeat_words": 0, "n_tokens": 64, "chars_per_token": 4.5, "byte_share": 0.0, "entropy": 5.2}
+    assert quality_rules.verdict(m, "x", "en", rules) == (False, True)  # short, and as varied as it can be
+    assert quality_rules.verdict({**m, "n_tokens": 300}, "x", "en", rules) == (False, False)
+    assert quality_rules.verdict({**m, "n_words": 49}, "x", "en", rules) == (True, False)
+    assert quality_rules.verdict({**m, "n_repeat_words": 31}, "x", "en", rules) == (True, False)
+    assert quality_rules.verdict({**m, "chars_per_token": 1.2}, "x", "en", rules) == (False, False)
+    assert quality_rules.verdict({**m, "chars_per_token": 1.2, "byte_share": 0.8, "entropy": 6.0}, "日本語", None, rules) == (False, True)
+
+
 def made_texts(r, n, toxic):
     word = lambda: "".join(r.choice(["ta", "ri", "no", "ke", "su", "la", "mo"]) for _ in range(r.randint(1, 3)))
     out = []
