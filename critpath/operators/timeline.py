@@ -66,12 +66,20 @@ def nested_pieces(stacked: DataFrame) -> DataFrame:
     return stacked.withColumn("place", place).select("epoch", "worker", F.explode(pieces).alias("p")).select("epoch", "worker", "p.*")
 
 
+#: Epochs of a worker that one call handles, one after the other.
+EPOCHS_PER_CALL = 64
+
+
 def overlapping_pieces(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The same for one timeline with overlaps: an End closes the innermost activity of its type and those inside it."""
-    pdf = pdf.sort_values(list(_ORDER), kind="stable")
-    out, stack, prev = [], [], None
-    epoch, worker = int(pdf["epoch"].iloc[0]), int(pdf["worker"].iloc[0])
-    for place, (ts, event, activity, operator) in enumerate(zip(pdf["ts"], pdf["event_type"], pdf["activity"], pdf["operator_id"], strict=True)):
+    """The same for timelines of one worker with overlaps: an End closes the innermost activity of its type and those
+    inside it."""
+    pdf = pdf.sort_values(["epoch", *_ORDER], kind="stable")
+    out, stack, prev, current, place = [], [], None, None, 0
+    worker = int(pdf["worker"].iloc[0])
+    columns = (pdf[c].tolist() for c in ("epoch", "ts", "event_type", "activity", "operator_id"))
+    for epoch, ts, event, activity, operator in zip(*columns, strict=True):
+        if epoch != current:
+            stack, prev, current, place = [], None, epoch, 0
         operator = None if pd.isna(operator) else int(operator)
         local = None
         if event == START:
@@ -91,6 +99,7 @@ def overlapping_pieces(pdf: pd.DataFrame) -> pd.DataFrame:
         if event not in (START, END):
             out.append((epoch, worker, ts, 0, place, True, activity, operator, event))
         prev = ts
+        place += 1
     frame = pd.DataFrame(out, columns=[x.split()[0] for x in PIECES.split(", ")])
     frame["operator_id"] = frame["operator_id"].astype("Int64")
     return frame
@@ -106,7 +115,7 @@ def pieces(trace: DataFrame, halves: DataFrame, window: int, mode: str = "auto")
         return by_window
     rest = stacked if mode == "grouped" else stacked.filter("overlap")
     plain = rest.select("epoch", "worker", "ts", "rank", "seq", "event_type", "activity", "operator_id")
-    grouped = plain.groupBy("epoch", "worker").applyInPandas(overlapping_pieces, PIECES)
+    grouped = plain.groupBy(F.expr(f"epoch div {EPOCHS_PER_CALL}"), "worker").applyInPandas(overlapping_pieces, PIECES)
     return grouped if mode == "grouped" else by_window.unionByName(grouped)
 
 
