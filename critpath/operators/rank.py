@@ -152,28 +152,31 @@ def single_path(pag: DataFrame, seed: int = 0, pick: str = "random") -> DataFram
     each edge alike (from the seed and epoch), first takes the least (dst_ts, dst_worker) from the start node of the
     least worker."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        epoch = int(pdf["epoch"].iloc[0])
+    def walk(epoch: int, starts: list[tuple], out: dict[tuple, list[tuple]], most: int) -> list[tuple]:
         draw = np.random.default_rng([seed, epoch % (1 << 32)])
-        out: dict[tuple, list[tuple]] = {}
-        starts = sorted((r.dst_worker, r.dst_ts) for r in pdf[pdf["kind"] == "START"].itertuples())
-        edges = pdf[pdf["kind"] == "EDGE"]
-        for r in edges.itertuples():
-            out.setdefault((r.src_ts, r.src_worker), []).append((r.dst_ts, r.dst_worker, int(r.edge_type), None if pd.isna(r.operator_id) else int(r.operator_id)))
-        rows: list[tuple] = []
-        if starts:
-            worker, ts = starts[0] if pick == "first" else starts[int(draw.integers(len(starts)))]
-            node = (ts, worker)
-            while (ways := out.get(node)) and len(rows) <= len(edges):
-                ways.sort(key=lambda x: (x[0], x[1], x[2], -1 if x[3] is None else x[3]))
-                way = ways[0] if pick == "first" else ways[int(draw.integers(len(ways)))]
-                rows.append((epoch, len(rows), *map(int, node), int(way[0]), int(way[1]), way[2], way[3]))
-                node = way[:2]
-        frame = pd.DataFrame(rows, columns=[x.split()[0] for x in WALK.split(", ")])
-        frame["operator_id"] = frame["operator_id"].astype("Int64")
-        return frame
-
-    return pag.select(*PAG_COLUMNS).groupBy("epoch").applyInPandas(run, WALK)
+        starts.sort()
+        worker, ts = starts[0] if pick == "first" else starts[int(draw.integers(len(starts)))]
+        node, rows = (ts, worker), []
+        while (ways := out.get(node)) and len(rows) <= most:
+            ways.sort(key=lambda x: (x[0], x[1], x[2], -1 if x[3] is None else x[3]))
+            way = ways[0] if pick == "first" else ways[int(draw.integers(len(ways)))]
+            rows.append((epoch, len(rows), *node, *way))
+            node = way[:2]
+        return rows
+
+    def run(group: pa.Table) -> pa.Table:
+        starts: dict[int, list[tuple]] = {}
+        ways: dict[int, dict[tuple, list[tuple]]] = {}
+        for epoch, kind, src_ts, src_worker, dst_ts, dst_worker, edge_type, operator in zip(*(group[c].to_pylist() for c in PAG_COLUMNS[:-1]), strict=True):
+            if kind == "START":
+                starts.setdefault(epoch, []).append((dst_worker, dst_ts))
+            elif kind == "EDGE":
+                ways.setdefault(epoch, {}).setdefault((src_ts, src_worker), []).append((dst_ts, dst_worker, edge_type, operator))
+        rows = [r for e, s in starts.items() for r in walk(e, s, ways.get(e, {}), sum(map(len, ways.get(e, {}).values())))]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+        return pa.Table.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=[x.split()[0] for x in WALK.split(", ")])
+
+    return pag.select(*PAG_COLUMNS).groupBy(F.expr(f"epoch div {EPOCHS_PER_TASK}")).applyInArrow(run, WALK)
 
 
 def explore(edges: DataFrame, group: str = "graph", src: str = "src", dst: str = "dst", capacity: str = "unbound") -> DataFrame:
