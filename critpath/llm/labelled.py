@@ -59,24 +59,6 @@ def compressor(content: bytes, level: int, **options) -> zstandard.ZstdCompresso
     return zstandard.ZstdCompressor(compression_params=params, dict_data=data)
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 100) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Means, scales and weights (intercept first) of a ridge logistic regression by Newton's steps, halved until they help."""
-    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
-    a = np.c_[np.ones(len(x)), (x - mean) / scale]
-    w, penalty = np.zeros(a.shape[1]), np.r_[1e-6, np.full(x.shape[1], ridge)]
-    loss = lambda w: np.logaddexp(0, np.where(y == 1, -1, 1) * (a @ w)).sum() + (penalty * w * w).sum() / 2
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + np.diag(penalty), a.T @ (p - y) + penalty * w)
-        size, now = 1.0, loss(w)
-        while size > 1e-6 and loss(w - size * step) > now:
-            size /= 2
-        w = w - size * step
-        if now - loss(w) < 1e-9 * max(1.0, now):
-            break
-    return mean, scale, w
-
-
 def monotone(p: np.ndarray, n: np.ndarray) -> np.ndarray:
     """The nondecreasing values nearest to p under weights n (pool adjacent violators)."""
     blocks: list[list[float]] = []
