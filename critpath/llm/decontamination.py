@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 SEED_WORDS, RARE_SHARE, CUT = 3, 0.75, 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 _BLANK = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
 
 
@@ -45,17 +45,19 @@ class Items:
         self.words = [np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words_of(r[1])], np.int64) for r in rows]
         self.size = len(self.vocabulary) + 1
         self.short = [any(len(w) == n for w in self.words) for n in range(SEED_WORDS)]
-        places = []
-        for k, w in enumerate(self.words):
-            places += [(int(c), k, i) for i, c in enumerate(self._grams(w, min(SEED_WORDS, len(w)))) if len(w)]
-        self.keep(places)
-
-    def keep(self, places: list[tuple[int, int, int]]) -> None:
-        places.sort()
-        self.seeds = np.array(sorted({c for c, _, _ in places}), np.int64)
-        self.places = places
-        self.first = np.searchsorted(np.array([c for c, _, _ in places], np.int64), self.seeds) if places else np.zeros(0, np.int64)
-        self.last = np.append(self.first[1:], len(places))
+        if self.size**SEED_WORDS >= 1 << 63:
+            raise ValueError("a block of items has too many different words, take a smaller BLOCK_BYTES")
+        codes = [self._grams(w, min(SEED_WORDS, len(w))) if len(w) else np.zeros(0, np.int64) for w in self.words]
+        code, item = np.concatenate([np.zeros(0, np.int64), *codes]), np.repeat(np.arange(len(codes)), [len(c) for c in codes])
+        place = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(c)) for c in codes)])
+        self.keep(code, item.astype(np.int32), place.astype(np.int32))
+
+    def keep(self, code: np.ndarray, item: np.ndarray, place: np.ndarray) -> None:
+        """Seeds as sorted distinct codes; the places of seed number s are those from first[s] to last[s]."""
+        order = np.argsort(code, kind="stable")
+        self.code, self.item, self.place = code[order], item[order], place[order]
+        self.seeds, self.first = np.unique(self.code, return_index=True)
+        self.last = np.append(self.first[1:], len(code))
 
     def read(self, text: str | None) -> np.ndarray:
         words = words_of(text)
@@ -88,15 +90,15 @@ class Items:
 
     def rarest(self, counts: np.ndarray) -> None:
         """Keep the rarest share of each item's seeds; ties are kept."""
-        limit = np.zeros(len(self.words))
-        number = {int(c): i for i, c in enumerate(self.seeds)}
-        by_item: dict[int, list[int]] = {}
-        for c, k, _ in self.places:
-            by_item.setdefault(k, []).append(int(counts[number[c]]))
-        for k, own in by_item.items():
-            own.sort()
-            limit[k] = own[max(0, int(np.ceil(RARE_SHARE * len(own))) - 1)]
-        self.keep([p for p in self.places if counts[number[p[0]]] <= limit[p[1]]])
+        n = np.repeat(counts, self.last - self.first)  # of each place
+        keep = np.zeros(len(n), bool)
+        order = np.lexsort((n, self.item))
+        ends = np.searchsorted(self.item[order], np.arange(len(self.words) + 1))
+        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            own = order[a:b]
+            if len(own):
+                keep[own] = n[own] <= n[own[max(0, int(np.ceil(RARE_SHARE * len(own))) - 1)]]
+        self.keep(self.code[keep], self.item[keep], self.place[keep])
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
@@ -126,7 +128,8 @@ def leaks_in(items: Items, ids: np.ndarray) -> list[tuple[int, float, int, int]]
         return []
     spans: dict[int, set[tuple[int, int]]] = {}
     for pos, seed in zip(where.tolist(), which.tolist(), strict=True):
-        for _, k, i in items.places[items.first[seed] : items.last[seed]]:
+        at = slice(items.first[seed], items.last[seed])
+        for k, i in zip(items.item[at].tolist(), items.place[at].tolist(), strict=True):
             n = len(items.words[k])
             slack = n // 4 + 2
             spans.setdefault(k, set()).add((max(0, pos - i - slack), min(len(ids), pos - i + n + slack)))
