@@ -1,11 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Every text is read as lower-case words without ASCII punctuation. Seeds are word n-grams of the test items; a first
-pass over all documents counts them, and each item keeps its rarest ones (a share of its own n-grams, so no item is
-ever left without seeds, however often its passage was copied). A second pass joins documents to items where a seed
-occurs and aligns the passage around it with the whole item. The score is the alignment's share of a perfect one; a
-passage from CUT on is a leak. Before an alignment an exact bound is taken: it can't score more than the words that
-passage and item have in common.
+Every text is read as lower-case words without ASCII punctuation. Seeds are all word n-grams of the test items: which
+of them an edited copy keeps is not known beforehand, so none is dropped, common or not. One pass joins documents to
+items where a seed occurs and aligns the passage around it with the whole item. The score is the alignment's share of
+a perfect one; a passage from CUT on is a leak. Before an alignment an exact bound is taken: it can't score more than
+the words that passage and item have in common. A copy without any n-gram of its item is not seen.
 
 The items are broadcast in blocks of at most BLOCK_BYTES of text, one scan of the documents for each block, so the
 broadcast is bounded whatever the size of the benchmark. Documents are never shuffled.
@@ -89,7 +88,7 @@ class Items:
         return np.where(known, out, -1)
 
     def rarest(self, counts: np.ndarray) -> None:
-        """Keep the rarest share of each item's seeds; ties are kept."""
+        """Keep the rarest share of each item's seeds; ties are kept. Loses edited copies: find_leaks keeps all seeds."""
         n = np.repeat(counts, self.last - self.first)  # of each place
         keep = np.zeros(len(n), bool)
         order = np.lexsort((n, self.item))
@@ -156,44 +155,23 @@ def leaks_in(items: Items, ids: np.ndarray) -> list[tuple[int, float, int, int]]
     return found
 
 
-def _blocks(docs: DataFrame, benchmark: DataFrame) -> list[Items]:
-    """The items in blocks, with their rarest seeds."""
+def _blocks(benchmark: DataFrame) -> list[Items]:
+    """The items in blocks, with all their seeds."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null")
     size = items.select(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-size // BLOCK_BYTES))
     blocks = []
     for b in range(n):
         rows = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == b).collect()
-        block = Items(sorted((tuple(r) for r in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1])))
-        counts = np.zeros(len(block.seeds), np.int64)
-        for seed, c in _counted(docs, block):
-            counts[seed] = c
-        block.rarest(counts)
-        blocks.append(block)
+        blocks.append(Items(sorted((tuple(r) for r in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))))
     return blocks
 
 
-def _counted(docs: DataFrame, block: Items) -> list[tuple[int, int]]:
-    shared = docs.sparkSession.sparkContext.broadcast(block)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        counts = np.zeros(len(own.seeds), np.int64)
-        for batch in batches:
-            for text in batch.column(0):
-                counts += np.bincount(own.hits(own.read(text.as_py()))[1], minlength=len(counts))
-        some = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["seed", "n"])
-
-    # as many rows as the block has seeds, at most
-    return [(r[0], r[1]) for r in docs.select("text").mapInArrow(run, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect()]
-
-
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, score, first_word, last_word (exclusive) of each item that leaks into a document."""
     schema = "doc_id long, item_id long, score double, first_word long, last_word long"
     found = None
-    for block in _blocks(docs, benchmark):
+    for block in _blocks(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -210,7 +188,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs into which no item leaks, all columns as they are."""
-    for block in _blocks(docs, benchmark):
+    for block in _blocks(benchmark):
         shared, at = docs.sparkSession.sparkContext.broadcast(block), docs.columns.index("text")
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, at=at) -> Iterator[pa.RecordBatch]:

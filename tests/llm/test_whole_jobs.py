@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from critpath.llm import near_copies
+from critpath.llm import decontamination, near_copies
 from critpath.llm.common import words_of
 
 
@@ -62,3 +62,16 @@ def test_near_copies_of_repeated_and_null_ids(spark):
     got = corpus_pipeline.near_duplicates(spark, docs, "")
     assert got.columns == docs.columns and sorted((x.doc_id or 0, x.text) for x in got.collect()) == [(0, "no id"), (3, " ".join(edited)), (5, "alone here")]
     assert corpus_pipeline.near_duplicates(spark, docs.limit(0), "").count() == 0
+
+
+def test_edited_copies_are_found_whatever_seeds_they_keep(spark):
+    items = [(n, " ".join(f"w{n}x{k}" for k in range(n))) for n in (34, 38, 50)]
+    replaced = lambda t: " ".join("edited" if k % 4 == 3 else w for k, w in enumerate(t.split()))
+    deleted = lambda t: " ".join(w for k, w in enumerate(t.split()) if k % 4 != 3)
+    rows = [(n, f"before it {replaced(t)} after it") for n, t in items] + [(n + 100, f"before it {deleted(t)} after it") for n, t in items]
+    rows += [(0, "nothing of it"), *((n + 200, t) for n, t in items)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = decontamination.find_leaks(docs, benchmark).collect()
+    assert sorted((r.doc_id, r.item_id) for r in found) == sorted((n + k, n) for n, _ in items for k in (0, 100, 200))
+    assert [r.doc_id for r in decontamination.clean_documents(docs, benchmark).collect()] == [0]
