@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from critpath.llm import decontamination, near_copies
+from critpath.llm import decontamination, near_copies, queries
 from critpath.llm.common import words_of
 
 
@@ -75,3 +75,11 @@ def test_edited_copies_are_found_whatever_seeds_they_keep(spark):
     found = decontamination.find_leaks(docs, benchmark).collect()
     assert sorted((r.doc_id, r.item_id) for r in found) == sorted((n + k, n) for n, _ in items for k in (0, 100, 200))
     assert [r.doc_id for r in decontamination.clean_documents(docs, benchmark).collect()] == [0]
+
+
+def test_bands_reject_bad_documents_and_keep_good_ones(spark):
+    data = "/root/testdata/sf0.01"
+    marked = queries.QUERIES["op9_quality_rules"](spark, data).filter("not base_failed").join(spark.read.parquet(f"{data}/labels.parquet"), "doc_id")
+    n = {(r.quality, r.kept): r["count"] for r in marked.groupBy("quality", "kept").count().collect()}
+    assert n[1, True] >= 0.98 * (n[1, True] + n[1, False])
+    assert n[0, False] >= 0.7 * (n[0, False] + n.get((0, True), 0))
