@@ -21,10 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from critpath.llm.bpe import CACHE_CHARS, CACHE_ROWS, chunks
+from critpath.llm.bpe import CACHE_CHARS, CACHE_ROWS
 
 VOCABULARY = "piece_bpe_32k.model"
 WORD, SPACE, SYMBOLS = re.compile(r"[^ \t-\r]+"), " \t\n\v\f\r", "#*$%&|<>"
+CHUNK, _END = 1 << 16, re.compile(r"[^ \t-\r][ \t-\r]")
 
 
 @dataclass(frozen=True)
@@ -127,6 +128,15 @@ def repeated_words(ids: np.ndarray, distinct: int, window: int = 3) -> int:
     return int(hit.sum())
 
 
+def chunks(text: str, size: int = CHUNK) -> Iterator[str]:
+    """A text in parts of about size characters that end before white space that ends a word here (bpe's knows more kinds)."""
+    at = 0
+    while len(text) - at > size and (m := _END.search(text, at + size)):
+        yield text[at : m.start() + 1]
+        at = m.start() + 1
+    yield text[at:]
+
+
 def measured(text: str, fertility: Fertility) -> dict:
     vocabulary: dict[str, int] = {}
     parts = [np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in WORD.findall(part)), np.int64) for part in chunks(text)]

@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from critpath.llm import decontamination, near_copies, queries
+from critpath.llm import decontamination, near_copies, quality_rules, queries
 from critpath.llm.common import words_of
 
 
@@ -83,3 +83,14 @@ def test_bands_reject_bad_documents_and_keep_good_ones(spark):
     n = {(r.quality, r.kept): r["count"] for r in marked.groupBy("quality", "kept").count().collect()}
     assert n[1, True] >= 0.98 * (n[1, True] + n[1, False])
     assert n[0, False] >= 0.7 * (n[0, False] + n.get((0, True), 0))
+
+
+@pytest.mark.parametrize("space", ["\u00a0", "\u0085", "\u2028", "\u3000"])
+def test_long_texts_are_cut_between_words_alone(space):
+    import public_tokenizers
+
+    fertility = quality_rules.reader(public_tokenizers.path(quality_rules.VOCABULARY))
+    text = "mot " * 16_384 + f"prix{space}: dix"
+    m = quality_rules.measured(text, fertility)
+    assert m["n_words"] == len(quality_rules.WORD.findall(text)) == 16_386
+    assert "".join(quality_rules.chunks(text)) == text
