@@ -201,7 +201,8 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 2) -> DataFram
 
 
 def keep_one(docs: DataFrame, size: int = 3, radius: int = 2) -> DataFrame:
-    """docs without all but one document (the one of least doc_id) of each group of near copies."""
+    """docs without all but one document (the one of least doc_id) of each group of near copies. Rows are told apart by
+    doc_id alone: those that share the doc_id that stays, or a null one, all stay."""
     groups = near_duplicates(docs, size, radius)
     stay = groups.filter("doc_id <=> component_id").select(F.col("doc_id").alias("_stay")).distinct()
     return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_stay")), "left_semi").select(*docs.columns)
