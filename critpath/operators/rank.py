@@ -8,6 +8,8 @@ arrays); levels() does the same with one DataFrame step for each level, for grap
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -94,8 +96,10 @@ def unsettled(ranked: DataFrame) -> DataFrame:
     return ranked.filter(F.isnan("bc"))
 
 
-def levels(pag: DataFrame, max_levels: int = 10_000) -> DataFrame:
-    """The same as betweenness(no_waiting), level by level with DataFrames; each level is stored in the checkpoint folder."""
+def levels(pag: DataFrame, max_levels: int | None = None) -> DataFrame:
+    """The same as betweenness(no_waiting), level by level with DataFrames; each level is stored in the checkpoint folder.
+
+    It goes on until no node is left to settle; more levels than max_levels, if given, are an error."""
     edges = pag.filter("kind = 'EDGE'").withColumn("id", F.xxhash64(*PAG_COLUMNS)).withColumns({"a": F.struct("epoch", F.col("src_ts").alias("ts"), F.col("src_worker").alias("worker")), "b": F.struct("epoch", F.col("dst_ts").alias("ts"), F.col("dst_worker").alias("worker"))})
     _with_checkpoints(pag.sparkSession)
     merged = edges.groupBy("id", "a", "b", "traverse", *[c for c in PAG_COLUMNS if c != "traverse"]).agg(F.count("*").alias("copies")).checkpoint()
@@ -104,12 +108,14 @@ def levels(pag: DataFrame, max_levels: int = 10_000) -> DataFrame:
         degree = merged.groupBy(F.col(b).alias("node")).agg(F.sum("copies").alias("n")).unionByName(seed.groupBy("node").agg(F.count("*").alias("n"))).groupBy("node").agg(F.sum("n").alias("need"))
         got = seed.select("node", F.lit(1).cast("long").alias("n"), F.lit(1.0).alias("v"))
         done, found = None, None
-        for _ in range(max_levels):
+        for level in count():
             state = got.groupBy("node").agg(F.sum("n").alias("n"), F.sum("v").alias("v"))
             full = state.join(degree, "node").filter("n = need").select("node", "v")
             fresh = (full if done is None else full.join(done, "node", "left_anti")).checkpoint()
             if fresh.isEmpty():
                 break
+            if level == max_levels:
+                raise ValueError(f"the graph has more than {max_levels} levels")
             out = merged.join(fresh, merged[a] == fresh["node"]).select("id", F.col(b).alias("node"), "copies", F.when(F.col("traverse") == "Block", 0.0).otherwise(F.col("v")).alias("v")).checkpoint()
             values = out.select("id", "v")
             found = values if found is None else found.unionByName(values)

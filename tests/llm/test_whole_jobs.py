@@ -94,3 +94,12 @@ def test_long_texts_are_cut_between_words_alone(space):
     m = quality_rules.measured(text, fertility)
     assert m["n_words"] == len(quality_rules.WORD.findall(text)) == 16_386
     assert "".join(quality_rules.chunks(text)) == text
+
+
+def test_levels_refuse_a_bound_that_is_hit(spark):
+    from critpath.operators import rank
+
+    at = "epoch long, kind string, src_ts long, src_worker long, dst_ts long, dst_worker long, edge_type int, operator_id long, traverse string"
+    rows = [(0, "START", None, None, 0, 0, 0, 0, "Unbounded"), (0, "EDGE", 0, 0, 1, 0, 0, 0, "Unbounded"), (0, "EDGE", 1, 0, 2, 0, 0, 0, "Unbounded"), (0, "END", 2, 0, None, None, 0, 0, "Unbounded")]
+    with pytest.raises(ValueError, match="more than 1 levels"):
+        rank.levels(spark.createDataFrame(rows, at), 1)
