@@ -7,7 +7,7 @@ import re
 from collections import Counter
 from dataclasses import dataclass, field
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
+_NAME_END, _QUOTE_OR_END = re.compile(r"[\s/>]"), re.compile(r"[\"'>]")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|aria-label|data-testid|hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _PIECE = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]+")
 #: Elements by the HTML standard: without an end tag, with unparsed content, and those that run within a line of text.
@@ -41,6 +41,68 @@ def tokens_of(attributes: str) -> list[str]:
     return [p.lower() for m in _ATTRIBUTE.finditer(attributes) for p in _PIECE.findall(m[2] or m[3] or m[4] or m[1])]
 
 
+class _Ahead:
+    """The place of the next match of a pattern; asked at rising places, it reads no character twice."""
+
+    def __init__(self, pattern: re.Pattern, source: str):
+        self.pattern, self.source, self.low, self.at = pattern, source, 0, -1
+
+    def of(self, place: int) -> int:
+        if not self.low <= place <= self.at:
+            m = self.pattern.search(self.source, place)
+            self.low, self.at = place, m.start() if m else len(self.source)
+        return self.at
+
+
+class _Tags:
+    """Finds tags from left to right in linear time, whatever quotes or tags are never closed."""
+
+    def __init__(self, source: str):
+        self.source, self.names, self.starts = source, _Ahead(_NAME_END, source), _Ahead(_QUOTE_OR_END, source)
+        self.ends: dict[int, int] = {}  # opening quote within a tag: the tag's end, -1 without one
+
+    def end(self, place: int) -> int:
+        """The first > from place on that is not within quotes, -1 if there is none."""
+        at, passed = self.starts.of(place), []
+        found = -1
+        while at < len(self.source):
+            if self.source[at] == ">":
+                found = at
+                break
+            if at in self.ends:
+                found = self.ends[at]
+                break
+            passed.append(at)
+            close = self.source.find(self.source[at], at + 1)
+            if close < 0:
+                break
+            m = _QUOTE_OR_END.search(self.source, close + 1)
+            at = m.start() if m else len(self.source)
+        for quote in passed:
+            self.ends[quote] = found
+        return found
+
+    def at(self, place: int) -> tuple[int, str, str, bool] | None:
+        """Of a tag, comment or declaration that begins at place: its end, name, attributes and whether it is an end tag; else None."""
+        source = self.source
+        after = source[place + 1 : place + 2]
+        if after and after in "!?":
+            for mark, close in (("<!--", "-->"), ("<![CDATA[", "]]>")):
+                if source.startswith(mark, place):
+                    end = source.find(close, place + len(mark))
+                    return (len(source) if end < 0 else end + len(close)), "", "", False
+            end = source.find(">", place)
+            return None if end < 0 else (end + 1, "", "", False)
+        closing = after == "/"
+        begin = place + 1 + closing
+        first = source[begin : begin + 1]
+        if not (first.isascii() and first.isalpha()):
+            return None
+        stop = self.names.of(begin)
+        end = self.end(stop)
+        return None if end < 0 else (end + 1, source[begin:stop].lower(), source[stop:end], closing)
+
+
 def parse(page: str | None) -> Node:
     """The tree of a page's block elements; text of inline elements belongs to the block around them."""
     root = Node("#page", [], None, 0, 0)
@@ -68,13 +130,17 @@ def parse(page: str | None) -> Node:
         if tag in SILENT:
             silent -= 1
 
-    while m := _TOKEN.search(source, pos):
-        put(source[pos : m.start()])
-        pos = m.end()
-        if m[2] is None:
+    tags, at = _Tags(source), 0
+    while (at := source.find("<", at)) >= 0:
+        if (found := tags.at(at)) is None:
+            at += 1
+            continue
+        put(source[pos:at])
+        pos, tag, attributes, closing = found
+        at = pos
+        if not tag:
             continue
-        tag = m[2].lower()
-        if m[1]:
+        if closing:
             if tag == "br" or tag == "p" and not opened["p"]:
                 put(" ")
             elif opened[tag]:
@@ -100,9 +166,9 @@ def parse(page: str | None) -> Node:
                 if node is not None and t not in ("tr", "tbody", "thead", "tfoot") and t != "p":
                     break
         node = None
-        if tag not in INLINE or tag == "ins" and m[3].strip():  # with attributes, ins is a common advert slot
+        if tag not in INLINE or tag == "ins" and attributes.strip():  # with attributes, ins is a common advert slot
             order += 1
-            node = Node(tag, tokens_of(m[3]) if m[3] else [], block, order, block.depth + 1)
+            node = Node(tag, tokens_of(attributes) if attributes else [], block, order, block.depth + 1)
             block.children.append(node)
             block = node
         else:
@@ -113,7 +179,7 @@ def parse(page: str | None) -> Node:
         silent += tag in SILENT
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, pos)
-            pos = end.end() if end else len(source)
+            at = pos = end.end() if end else len(source)
             pop()
     put(source[pos:])
     return root
