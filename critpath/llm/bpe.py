@@ -4,14 +4,16 @@ Two levels, both exact and both without limits on the length of a text:
 
 * Documents longer than PIECE characters are cut into pieces that different tasks encode. Around each join a window
   is re-encoded that starts at a split point of the left piece which no text to its right can move, and grows until
-  its split points meet one of the right piece; splitting runs left to right, so from there on both sides agree.
+  its split points meet one of the right piece; splitting runs left to right, so from there on both sides agree. A stretch
+  that runs on from piece to piece keeps its tokens: the window then grows token by token, as within a stretch.
 * A stretch that the splitting pattern leaves whole and that exceeds LEAF bytes is halved, the halves are encoded,
   and a window of tokens around the join grows until its outermost tokens equal those of both sides. A token
   sequence is the BPE encoding of its bytes if every two neighbours are the encoding of theirs, which then holds for
   all: inside both halves, inside the window and where they meet.
 
 Defined results: null and empty texts have no tokens; a special token's string inside a text is that token, as the
-tokenizers library reads it; repeated rows and doc_ids keep a row each; other columns are ignored; no rows, no rows.
+tokenizers library reads it; repeated rows and doc_ids keep a row each; other columns are ignored and may have any name;
+no rows, no rows.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -29,6 +31,8 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from critpath.llm.common import only
+
 VOCABULARY = "byte_bpe_50k.json"
 PIECE = 1 << 16
 LEAF = 1 << 11
@@ -61,7 +65,7 @@ class Bpe:
             spec = json.load(f)
         byte, added = _byte_of(), {x["content"]: x["id"] for x in spec["added_tokens"]}
         ranks = {bytes(byte[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in added}
-        self.special = {t: np.array([i], "<u4").tobytes() for t, i in added.items()}
+        self.special, self.added = {t: np.array([i], "<u4").tobytes() for t, i in added.items()}, frozenset(added.values())
         self.bytes_of = [b""] * (1 + max(*ranks.values(), *added.values()))
         for t, i in ranks.items():
             self.bytes_of[i] = t
@@ -74,6 +78,8 @@ class Bpe:
         self.core = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe
         self.cache: dict[str, bytes] = {}
         self.library = None
+        #: bytes that joins encoded anew
+        self.again = 0
 
     def stretch(self, data: bytes) -> list[int]:
         """Ids of bytes that the pattern leaves whole."""
@@ -83,14 +89,21 @@ class Bpe:
         return self.joined(self.stretch(data[:half]), self.stretch(data[half:]))
 
     def joined(self, left: list[int], right: list[int]) -> list[int]:
+        k, window = self.seam(left, right)
+        return left[: max(0, len(left) - k)] + window + right[k:]
+
+    def seam(self, left: Sequence[int], right: Sequence[int]) -> tuple[int, list[int]]:
+        """How many tokens at either side of a join are encoded anew, and as what."""
         k = 4
         while True:
-            a, b = left[-k:], right[:k]
-            window = self.core.encode_single_piece(b"".join([self.bytes_of[i] for i in a + b]))
+            a, b = [int(i) for i in left[-k:]], [int(i) for i in right[:k]]
+            data = b"".join([self.bytes_of[i] for i in a + b])
+            self.again += len(data)
+            window = self.core.encode_single_piece(data)
             start = k >= len(left) or window[:2] == a[:2]
             end = k >= len(right) or window[-2:] == b[-2:]
             if start and end and (len(window) >= 4 or k >= max(len(left), len(right))):
-                return left[:-k] + window + right[k:]
+                return k, window
             k *= 2
 
     def packed(self, part: str) -> bytes:
@@ -120,13 +133,14 @@ class Bpe:
         return b"".join([self.special.get(x) or self.packed(x) for x in self.splits(text)])
 
     def by_library(self, text: str) -> list[int]:
+        """Ids by the tokenizers library, part by part: parts end where any version of its pattern splits."""
         if self.library is None:
             from tokenizers import Tokenizer
 
             self.library = Tokenizer.from_file(self.path)
             self.library.no_truncation()
             self.library.no_padding()
-        return self.library.encode(text, add_special_tokens=False).ids
+        return [i for part in chunks(text) for i in self.library.encode(part, add_special_tokens=False).ids]
 
     def decode(self, ids: np.ndarray) -> str:
         table = self.bytes_of
@@ -177,9 +191,11 @@ def concatenated(bpe: Bpe, left: Encoded, right: Encoded) -> Encoded:
             theirs = {len(before) + n: m for n, m in zip(np.cumsum([0, *map(len, _cut(bpe, right, j))]).tolist(), right.bounds[: j + 1].tolist(), strict=True)}
             last = len(before) + len(after) - (0 if whole_right else MARGIN)
             for n, end in enumerate(ends.tolist()):
-                if end in theirs and end <= last and (end > len(before) or end == len(before)):
-                    packed = [bpe.special.get(x) or bpe.packed(x) for x in parts[: n + 1]]
-                    middle, m = np.frombuffer(b"".join(packed), "<u4"), theirs[end]
+                if end in theirs and end <= last and end >= len(before):
+                    m = theirs[end]
+                    over = _across(bpe, left, right, parts[n], end, len(before))
+                    packed = [over if over is not None and q == n else bpe.special.get(x) or bpe.packed(x) for q, x in enumerate(parts[: n + 1])]
+                    middle = np.frombuffer(b"".join(packed), "<u4")
                     ids = np.concatenate((left.ids[:a], middle, right.ids[m:]))
                     inner = a + np.cumsum([len(x) // 4 for x in packed])
                     outer = right.bounds[np.searchsorted(right.bounds, m) + 1 :] - m + a + len(middle)
@@ -189,6 +205,21 @@ def concatenated(bpe: Bpe, left: Encoded, right: Encoded) -> Encoded:
         k *= 2
 
 
+def _across(bpe: Bpe, left: Encoded, right: Encoded, part: str, end: int, join: int) -> bytes | None:
+    """Ids of a stretch that is the last of left and the first of right as one: only tokens around the join are encoded anew."""
+    if part in bpe.special or len(left.bounds) < 2 or len(right.bounds) < 2:
+        return None
+    a, b = left.ids[int(left.bounds[-2]) :], right.ids[: int(right.bounds[1])]
+    if len(a) + len(b) < 64 or any(int(i) in bpe.added for i in (a[0], b[0])):
+        return None
+    size = lambda ids: len(b"".join([bpe.bytes_of[i] for i in ids.tolist()]).decode())
+    first, second = size(a), size(b)
+    if end != join + second or len(part) != first + second:
+        return None
+    k, window = bpe.seam(a, b)
+    return np.concatenate((a[: max(0, len(a) - k)], np.array(window, "<u4"), b[k:])).astype("<u4").tobytes()
+
+
 def _cut(bpe: Bpe, piece: Encoded, j: int) -> list[str]:
     return [b"".join([bpe.bytes_of[i] for i in piece.ids[x:y].tolist()]).decode() for x, y in zip(piece.bounds[:j].tolist(), piece.bounds[1 : j + 1].tolist(), strict=True)]
 
@@ -203,10 +234,13 @@ def tree(bpe: Bpe, pieces: list[Encoded]) -> Encoded:
 RESULT = "doc_id long, ids binary, decoded string"
 
 
+PART = "doc_id long, row long, pos long, exact boolean, "
+
+
 def encode_documents(docs: DataFrame, path: str | None = None, piece: int = PIECE) -> DataFrame:
     """doc_id, ids (little-endian unsigned 32-bit integers), decoded (the text that those ids give)."""
     path = path or vocabulary_path()
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path)
@@ -217,40 +251,43 @@ def encode_documents(docs: DataFrame, path: str | None = None, piece: int = PIEC
                 texts = [bpe.decode(np.frombuffer(x, "<u4")) for x in ids]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array(texts, pa.string())], names=["doc_id", "ids", "decoded"])
 
+    def rows_of(rows: list[tuple], last: tuple[str, pa.DataType], *more: tuple[str, pa.DataType]) -> pa.RecordBatch:
+        fields = [("doc_id", pa.int64()), ("row", pa.int64()), ("pos", pa.int64()), ("exact", pa.bool_()), last, *more]
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(fields)], names=[n for n, _ in fields])
+
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc, row, text in zip(*(batch.column(i) for i in range(3)), strict=True):
                 text = text.as_py()
-                parts = [text] if encoder(path).odd(text) else [text[k : k + piece] for k in range(0, len(text), piece)]
+                exact = encoder(path).odd(text)  # such texts are cut at split points alone, and their parts are put together as they are
+                parts = list(chunks(text, piece)) if exact else [text[k : k + piece] for k in range(0, len(text), piece)]
                 for k in range(0, len(parts), 16):
-                    some = parts[k : k + 16]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([doc.as_py()] * len(some), pa.int64()), pa.array([row.as_py()] * len(some), pa.int64()), pa.array(range(k, k + len(some)), pa.int64()), pa.array(some, pa.string())],
-                        names=["doc_id", "row", "pos", "text"],
-                    )
+                    yield rows_of([(doc.as_py(), row.as_py(), k + n, exact, x) for n, x in enumerate(parts[k : k + 16])], ("text", pa.string()))
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path)
         for batch in batches:
-            for doc, row, pos, text in zip(*(batch.column(i) for i in range(4)), strict=True):
-                text = text.as_py()
-                if bpe.odd(text):  # a document that is not cut; nothing is joined to it
-                    ids = np.array(bpe.by_library(text), "<u4")
+            for doc, row, pos, exact, text in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4), strict=True):
+                if exact:
+                    ids = np.array(bpe.by_library(text.as_py()), "<u4")
                     found = Encoded(ids, np.array([0, len(ids)]))
                 else:
-                    found = Encoded.of(bpe, text)
-                cells = ([doc.as_py()], [row.as_py()], [pos.as_py()], [found.ids.tobytes()], [found.bounds.astype("<i8").tobytes()])
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cells, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["doc_id", "row", "pos", "ids", "bounds"])
+                    found = Encoded.of(bpe, text.as_py())
+                yield rows_of([(doc, row, pos, exact, found.ids.tobytes(), found.bounds.astype("<i8").tobytes())], ("ids", pa.binary()), ("bounds", pa.binary()))
 
     def joined(group: pa.Table) -> pa.Table:
         bpe, rows = encoder(path), sorted(group.to_pylist(), key=lambda x: x["pos"])
-        ids = tree(bpe, [Encoded(np.frombuffer(x["ids"], "<u4"), np.frombuffer(x["bounds"], "<i8")) for x in rows]).ids
-        return pa.table({"doc_id": pa.array([rows[0]["doc_id"]], pa.int64()), "ids": pa.array([ids.tobytes()], pa.binary()), "decoded": pa.array([bpe.decode(ids)])})
+        copies = sum(x["pos"] == 0 for x in rows)  # rows with the same doc_id and text
+        rows = rows[::copies]
+        parts = [Encoded(np.frombuffer(x["ids"], "<u4"), np.frombuffer(x["bounds"], "<i8")) for x in rows]
+        ids = np.concatenate([x.ids for x in parts]) if rows[0]["exact"] else tree(bpe, parts).ids
+        return pa.table({"doc_id": pa.array([rows[0]["doc_id"]] * copies, pa.int64()), "ids": pa.array([ids.tobytes()] * copies, pa.binary()), "decoded": pa.array([bpe.decode(ids)] * copies)})
 
     short = docs.filter(F.length("text") <= piece).mapInArrow(whole, RESULT)
-    long = docs.filter(F.length("text") > piece).withColumn("row", F.monotonically_increasing_id()).select("doc_id", "row", "text")
-    parts = long.mapInArrow(cut_up, "doc_id long, row long, pos long, text string").repartition(F.col("row"), F.col("pos"))
-    done = parts.mapInArrow(encoded, "doc_id long, row long, pos long, ids binary, bounds binary").groupBy("row").applyInArrow(joined, RESULT)
+    # a row is known by its content, so that a task that runs again gives its pieces the same name
+    long = docs.filter(F.length("text") > piece).withColumn("row", F.xxhash64("doc_id", "text")).select("doc_id", "row", "text")
+    parts = long.mapInArrow(cut_up, PART + "text string").repartition(F.col("row"), F.col("pos"))
+    done = parts.mapInArrow(encoded, PART + "ids binary, bounds binary").groupBy("row", "doc_id").applyInArrow(joined, RESULT)
     return short.unionByName(done)
 
 
