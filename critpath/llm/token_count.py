@@ -1,16 +1,17 @@
 """Token counts by a two-tier lookup on the map side; no stretch of text is ever shuffled.
 
-First tier: a broadcast hash table from frequent stretches (pre-tokens) to their numbers of tokens, taken from a
-bounded sample of documents: SAMPLE_DOCS of them on average, each counted up to its first SAMPLE_CHARS characters, TABLE_ROWS
-entries of at most bpe.CACHE_CHARS characters, so under 4 MB whatever the input. The table only saves time: what it
-lacks is encoded in a worker and kept in that worker's bounded cache, so no count depends on the sample.
+First tier: a broadcast hash table from frequent stretches (pre-tokens) to their numbers of tokens: TABLE_ROWS entries of at
+most bpe.CACHE_CHARS characters, so under 4 MB whatever the input. They come from the whole texts of the first
+SAMPLE_DOCS rows that Spark finds, so the documents are read once, not twice. The table only saves time: what it
+lacks is encoded in a worker and kept in that worker's bounded cache, so no count depends on it.
 
 Defined results: null and empty texts have 0 bytes and 0 tokens; special strings count as the tokenizers library reads
-them; repeated rows keep a row each; other columns are ignored; no rows, no rows.
+them; repeated rows keep a row each; other columns are ignored and may have any name; no rows, no rows.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -19,8 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from critpath.llm import bpe
+from critpath.llm.common import only
 
-SAMPLE_DOCS, SAMPLE_CHARS, TABLE_ROWS = 4096, 20_000, 32_768
+SAMPLE_DOCS, TABLE_ROWS = 1024, 32_768
 
 
 class Lengths(dict):
@@ -40,7 +42,7 @@ class Lengths(dict):
         return found
 
 
-_workers: dict[tuple[str, int], Lengths] = {}
+_workers: dict[str, Lengths] = {}
 
 
 def tokens_in(text: str, lengths: Lengths) -> int:
@@ -51,26 +53,16 @@ def tokens_in(text: str, lengths: Lengths) -> int:
 
 def frequent(docs: DataFrame, path: str) -> dict[str, int]:
     """The first tier's table; docs: any rows with a text."""
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, found = bpe.encoder(path), Counter()
-        for batch in batches:
-            for text in batch.column(0):
-                found.update(x for x in coder.splits((text.as_py() or "")[:SAMPLE_CHARS]) if len(x) <= bpe.CACHE_CHARS)
-        top = found.most_common(TABLE_ROWS)
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["part", "n"])
-
-    counts = docs.select("text").sample(min(1.0, SAMPLE_DOCS / max(1, docs.count())), 11).mapInArrow(counted, "part string, n long")
-    top = counts.groupBy("part").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "part").limit(TABLE_ROWS)
-    coder = bpe.encoder(path)
-    return {x: len(coder.special[x]) // 4 if x in coder.special else len(coder.stretch(x.encode())) for (x,) in top.select("part").collect()}
+    coder, found = bpe.encoder(path), Counter()
+    for text in docs.select("text").limit(SAMPLE_DOCS).toArrow().column(0):
+        found.update(x for x in coder.splits(text.as_py() or "") if len(x) <= bpe.CACHE_CHARS)
+    return {x: len(coder.special[x]) // 4 if x in coder.special else len(coder.stretch(x.encode())) for x, _ in found.most_common(TABLE_ROWS)}
 
 
 def count_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_bytes, n_tokens for every row."""
-    path = path or bpe.vocabulary_path()
-    table = docs.sparkSession.sparkContext.broadcast(frequent(docs, path))
-    key = (path, id(table))
+    path, docs = path or bpe.vocabulary_path(), only(docs, "doc_id", "text")
+    table, key = docs.sparkSession.sparkContext.broadcast(frequent(docs, path)), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _workers:
