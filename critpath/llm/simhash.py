@@ -2,19 +2,25 @@
 
 Fingerprints: 64 bits, one XXH64 per word shingle, bit set if set in over half of the hashes.
 
-The tree. Level b of the tree has a vantage point on its own block of bits; a fingerprint's branch is its Hamming
-distance to that vantage point. Distances over disjoint blocks add up, so for two fingerprints within r bits
-the differences of their branch numbers, summed over the levels, are at most r (the triangle bound of every level,
-together). A fingerprint has one home shard (its branch numbers) and is sent on to the later shards that this bound
-can't rule out; pairs are compared exactly in the home shard of one of the two. The number of levels grows with the
-number of distinct fingerprints, so that shards stay small. A shard returns its links as a spanning forest, at most
-one row for each fingerprint, and components follow from alternating large-star and small-star steps.
+The tree. A shard with more than SHARD_ROWS rows is split: one of its own fingerprints, drawn by hash, becomes the
+vantage point, and a row's branch is its Hamming distance to it over the bits of the shard's level. Every shard is split
+as often as it needs, whatever the size of the others; a level takes the next eight of the 64 bits. After all eight levels a
+second round begins with new vantage points for shards with more than DENSE_ROWS rows.
 
-Copies collapse to one fingerprint before the search (a partial aggregate, whatever their number).
+The bound. Within a round the levels' bits are disjoint, so for two fingerprints within r bits of each other the
+differences of their distances, summed over the levels, are at most r (the triangle bounds of all levels, together). A
+row stays in its home branch and is also sent to the branches that its remaining budget reaches, the first time to
+a greater distance only. So of two fingerprints within r bits exactly one visits the other's home shard, and pairs are
+compared exactly there. A shard returns its links as a spanning forest, at most one row for each fingerprint, and
+components follow from alternating large-star and small-star steps. A group too alike to be split is compared in blocks.
+
+Copies collapse to one fingerprint before the search (a partial aggregate, whatever their number). Fingerprints link
+and bridge whatever the doc_ids of their rows are.
 
 Defined results: null, empty and all-space texts have fingerprint zero and link like any other; fewer words than a
-shingle make one shingle; repeated shingles count; repeated doc_ids and a null doc_id keep one output row each (null
-is never a component's name unless it stands alone); further columns are ignored; no rows give no rows.
+shingle make one shingle; repeated shingles count; repeated doc_ids and null ones keep one output row each, and a
+component is named after its least doc_id, null only if all of its are; further columns may have any name and are ignored; no rows
+give no rows.
 """
 
 from __future__ import annotations
@@ -27,11 +33,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from critpath.llm.common import cut, words_of
+from critpath.llm.common import cut, only, words_of
 
 SEED = 42
-#: Levels to choose from, and how many fingerprints may fall into the fullest shard before more levels are taken.
-LEVELS, SHARD_ROWS = (4, 8, 16), 4096
+#: Rows from which on a shard is split, the same in the second and last round of levels, and bits of a level.
+SHARD_ROWS, DENSE_ROWS, LEVEL_BITS = 1 << 13, 1 << 19, 8
+#: Full shards (16 bytes each) that are broadcast; more of them are joined by a shuffle, in which none is hot.
+BROADCAST_ROWS = 200_000
 _CHUNK = 1 << 16
 
 
@@ -62,53 +70,41 @@ def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
             fps = np.fromiter((fingerprint(x.as_py(), size) for x in batch.column(1)), np.uint64, len(batch))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
-
-
-def _blocks(fps: np.ndarray, levels: int) -> np.ndarray:
-    """Distances of fingerprints to the vantage point of each level (here the zero point of each block of bits)."""
-    bits = np.unpackbits(fps.view(np.uint8).reshape(len(fps), 8), axis=1)
-    return bits.reshape(len(fps), levels, 64 // levels).sum(axis=2, dtype=np.int64)
-
-
-def _offsets(levels: int, radius: int) -> np.ndarray:
-    """All differences of branch numbers that the triangle bound allows, the first nonzero one positive: later shards."""
-    found = [np.zeros(levels, np.int64)]
-    for _ in range(radius):
-        found = [v + s * e for v in found for e in np.eye(levels, dtype=np.int64) for s in (1, -1)] + found
-    every = np.unique(np.array(found), axis=0)
-    first = every[np.arange(len(every)), (every != 0).argmax(axis=1)]
-    return every[first > 0]
-
-
-def levels_for(n: int) -> int:
-    """Levels at which the fullest shard of n evenly spread fingerprints has SHARD_ROWS of them at most."""
-    from math import comb
+    return only(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
 
-    full = lambda k: n * (comb(64 // k, 32 // k) / 2 ** (64 // k)) ** k
-    return next((k for k in LEVELS if full(k) <= SHARD_ROWS), LEVELS[-1])
 
+def _split(rows: DataFrame, radius: int, level: int) -> DataFrame:
+    """Rows (shard, home, left, fp) of shards that are too full, as rows of the shards of the next level.
 
-def _sent(levels: int, radius: int):
-    """Home rows and visits of each fingerprint as (shard, home, fp, node)."""
-    offsets, width = _offsets(levels, radius), 64 // levels
-    weights = (width + 1) ** np.arange(levels - 1, -1, -1, dtype=np.uint64)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, len(batch), 1 << 12):
-                part = batch.slice(i, 1 << 12)
-                fps, nodes = part.column(0).to_numpy(), part.column(1).to_numpy()
-                home = _blocks(fps.view(np.uint64), levels)
-                to = home[:, None, :] + offsets[None, :, :]
-                row, which = np.nonzero(((to >= 0) & (to <= width)).all(axis=2))
-                shard = np.concatenate((home.astype(np.uint64) @ weights, to[row, which].astype(np.uint64) @ weights)).view(np.int64)
-                at = np.concatenate((np.arange(len(fps)), row))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(shard), pa.array(np.arange(len(at)) < len(fps)), pa.array(fps[at]), pa.array(nodes[at])], names=["shard", "home", "fp", "node"]
-                )
-
-    return run
+    left: bits by which a row may still differ; home: whether it is at its own place.
+    """
+    first, bits = level % (64 // LEVEL_BITS) == 0, ((1 << LEVEL_BITS) - 1) << (level % (64 // LEVEL_BITS) * LEVEL_BITS)
+    mask = F.lit(bits - (1 << 64) if bits >> 63 else bits).cast("long")
+    distance = F.bit_count(F.col("fp").bitwiseXOR(F.col("vantage")).bitwiseAND(mask))
+    left = F.lit(radius) if first else F.col("left")
+    steps = F.explode(F.sequence(F.when(F.col("home"), 0).otherwise(-left), left))
+    moved = rows.withColumns({"distance": distance, "left": left}).select("shard", "home", "fp", "left", "distance", steps.alias("step")).withColumn("to", F.col("distance") + F.col("step"))
+    return moved.filter(F.col("to").between(0, LEVEL_BITS)).select(
+        F.xxhash64("shard", F.lit(level), "to").alias("shard"), (F.col("home") & (F.col("step") == 0)).alias("home"), (F.col("left") - F.abs("step")).cast("int").alias("left"), "fp"
+    )
+
+
+def shards(fps: DataFrame, radius: int) -> DataFrame:
+    """shard, home, left, fp: every fingerprint (column fp, distinct) at home in one shard and visiting those that the bounds leave."""
+    rows = fps.select(F.lit(0).cast("long").alias("shard"), F.lit(True).alias("home"), F.lit(radius).alias("left"), "fp")
+    done, levels = None, 64 // LEVEL_BITS
+    for level in range(2 * levels):
+        sizes = rows.groupBy("shard").agg(F.count("*").alias("n"), F.min_by("fp", F.xxhash64("fp", F.lit(level))).alias("vantage"))
+        full = cut(sizes.filter(F.col("n") > (SHARD_ROWS if level < levels else DENSE_ROWS)).select("shard", "vantage"))
+        n = full.count()
+        if not n:
+            break
+        if n <= BROADCAST_ROWS:
+            full = F.broadcast(full)
+        settled = rows.join(full, "shard", "left_anti")
+        done = settled if done is None else done.unionByName(settled)
+        rows = cut(_split(rows.join(full, "shard"), radius, level))
+    return rows if done is None else done.unionByName(rows)
 
 
 def _forest(a: np.ndarray, b: np.ndarray, parent: dict[int, int]) -> None:
@@ -137,7 +133,8 @@ def _linked(radius: int):
     """Within a shard: home rows against all rows by a finer local level, links as a spanning forest."""
 
     def run(group: pa.Table) -> pa.Table:
-        fps, nodes = group["fp"].to_numpy().view(np.uint64), group["node"].to_numpy()
+        nodes = group["fp"].to_numpy()
+        fps = nodes.view(np.uint64)
         homes, parent = np.flatnonzero(group["home"].to_numpy(zero_copy_only=False)), {}
         if len(homes) <= 64:
             parts = [(homes, np.arange(len(fps)))]
@@ -160,11 +157,9 @@ def _root(parent: dict[int, int], x: int) -> int:
     return x
 
 
-def links(nodes: DataFrame, n: int, radius: int = 2) -> DataFrame:
-    """Edges (a, b) that join exactly the nodes (fp, node; distinct fingerprints) linked by chains within radius bits."""
-    levels = levels_for(n)
-    sent = nodes.select("fp", "node").mapInArrow(_sent(levels, radius), "shard long, home boolean, fp long, node long")
-    return sent.groupBy("shard").applyInArrow(_linked(radius), "a long, b long").filter("a <> b").distinct()
+def links(fps: DataFrame, radius: int = 2) -> DataFrame:
+    """Edges (a, b) that join exactly the fingerprints (column fp, distinct) linked by chains within radius bits."""
+    return shards(fps, radius).groupBy("shard").applyInArrow(_linked(radius), "a long, b long").filter("a <> b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -192,20 +187,12 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 2) -> DataFrame:
     """doc_id, fp, component_id for every row of docs."""
-    fps = cut(fingerprints(docs, size))
-    nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("node")))
-    named = nodes.filter("node is not null")
-    roots = components(links(named, named.count(), radius))
-    of = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
-    return fps.join(of, "fp").select("doc_id", "fp", "component_id")
-
-
-def keep_one(docs: DataFrame, size: int = 3, radius: int = 2) -> DataFrame:
-    """docs without all but one document (the one of least doc_id) of each group of near copies. Rows are told apart by
-    doc_id alone: those that share the doc_id that stays, or a null one, all stay."""
-    groups = near_duplicates(docs, size, radius)
-    stay = groups.filter("doc_id <=> component_id").select(F.col("doc_id").alias("_stay")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_stay")), "left_semi").select(*docs.columns)
+    rows = cut(fingerprints(docs, size))
+    named = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))  # nodes are fingerprints, names come last
+    roots = components(links(named.select("fp"), radius)).select(F.col("node").alias("fp"), "root")
+    placed = named.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    names = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rows.join(placed.join(names, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def fingerprint_hex(fp: str = "fp") -> Column:
