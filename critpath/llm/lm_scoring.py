@@ -1,23 +1,29 @@
 """Language-model scoring with a weighted backoff automaton.
 
-The model is a bigram model with absolute discounting, interpolated with a discounted unigram model that keeps the
-discounted mass for one class of unknown words, so that each state's probabilities sum to 1. As an automaton: the
-words seen in training and the end of a text are the states; a state has an arc for each word seen after it, weighted
-with the interpolated log-probability, and a failure arc to the root, weighted with the log of its backoff mass; the
-root has an arc for every word and one for unknown words. A text is read once from left to right: the state is the
-last word, an arc is taken if there is one, else the failure arc and the root's arc, and the weights are summed.
+The model is a trigram model, smoothed at each order by as many imagined tokens of the order below (PRIOR):
+
+    p1(w) = (c(w) + 0.5) / (N + 0.5 (V + 1));  p2(w|a) = (c(a w) + m2 p1(w)) / (c(a) + m2)
+    p3(w|a b) = (c(a b w) + m3 p2(w|b)) / (c(a b) + m3)
+
+so the probabilities of V words and one class of unknown words sum to 1 in every state. As an automaton: the states are the
+root, the words and the pairs of words seen in training; a state has an arc for each word seen after it, weighted with the
+log of the smoothed probability, which leads to the longest state that fits, and a failure arc to the state without its first
+word, weighted with log m / (c + m); the root has an arc for every word. A text is read once from left to right, from the
+state of a text's end: the state is carried along, arcs are taken where there are any, else failure arcs, and all
+weights are summed. The texts of a block are read side by side, a token of each at a time. Long texts are read in
+segments: a segment starts at the root two tokens early, which leads to the same state, since no state is longer.
 
 The automaton grows with the corpus, so no task ever holds all of it. Documents are turned into blocks of word
-numbers, stored once. A block asks for exactly the states and arcs that its texts can reach, as packed arrays dealt to
-shards by hash; shards add up what all blocks counted and answer each block in the order asked; a block and its
-answers meet by block, and the traversal runs on that part of the automaton. A frequent word or pair is asked for once
+numbers, stored once. A block asks for exactly the n-grams that its texts can reach, as sorted hashes in packed
+arrays, dealt to shards by range; shards add up what all blocks counted and answer each block in the order asked; a block and its
+answers meet by block, and the traversal runs on that part of the automaton. A frequent n-gram is asked for once
 by a block, however often it occurs there, so no key is hot, and shards are as many as the tokens demand.
 
-Words are told apart by 64-bit hashes, pairs by 104 bits of hashes.
+N-grams are told apart by hashes of KEY_BITS bits.
 
 Defined results: null and empty texts are one end token; repeated rows and a null doc_id keep a row each (a null counts
 as the empty text for the hold-out rule); without training rows every word is unknown and has probability 1; ties do
-not occur; other columns are ignored; no rows, no rows.
+not occur; other columns are ignored and may have any name; no rows, no rows.
 """
 
 from __future__ import annotations
@@ -32,34 +38,40 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from critpath.llm.common import crc_of, cut, release, words_of
+from critpath.llm.common import crc_of, cut, only, words_of
 
 FOLDS, HELD_OUT = 5, 1
-#: Tokens of a block, and entries of a shard on average.
-BLOCK_TOKENS, SHARD_ENTRIES = 2_000_000, 2_000_000
+#: Imagined tokens behind a word and behind a pair of words.
+PRIOR = {2: 1000.0, 3: 10.0}
+#: Tokens of a block, entries of a shard on average, and tokens of a segment.
+BLOCK_TOKENS, SHARD_ENTRIES, SEGMENT = 2_000_000, 2_000_000, 1024
+KEY_BITS = 56
 _END_HASH = np.uint64(0x5EED0FE0DD0C0FE5)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 BLOCK = "block string, doc_ids array<bigint>, held_out array<boolean>, lengths binary, tokens binary, hashes binary, n_tokens long"
-ASKED = "kind string, shard int, block string, a binary, runs binary, b binary, n binary"
+MESSAGE = "grams int, shard int, block string, keys binary, n binary, stats array<bigint>"
+_KINDS = (pa.int32(), pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
+_NAMES = [x.split()[0] for x in MESSAGE.split(", ")]
 
 
 def packed(values: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(values.tobytes())
+    """Numbers byte by byte, all low bytes first: the high ones are mostly zero."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes))
 
 
 def unpacked(data: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
-def _in_bytes(values: np.ndarray, width: int) -> bytes:
-    """The low bytes of 64-bit values, which are random and don't compress."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as their steps."""
+    return packed(np.diff(keys, prepend=np.uint64(0)))
 
 
-def _from_bytes(data: bytes, width: int) -> np.ndarray:
-    out = np.zeros((len(data) // width, 8), np.uint8)
-    out[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
-    return out.view(np.uint64).ravel()
+def unpacked_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(data, np.uint64), dtype=np.uint64)
 
 
 def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -68,12 +80,25 @@ def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
+    """Shards are ranges of keys."""
+    return ((keys >> np.uint64(KEY_BITS - 32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+
+
+class Numbers(dict):
+    """Numbers of words, from 0 in the order met."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self)
+        return number
+
+
 def blocks(docs: DataFrame) -> DataFrame:
     """Documents as blocks of word numbers; number 0 is the end of a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, n = TaskContext.get().partitionId(), 0
-        ids, held, lengths, tokens, vocabulary, size = [], [], [], [], {}, 0
+        ids, held, lengths, tokens, vocabulary, size = [], [], [], [], Numbers(), 0
 
         def row() -> pa.RecordBatch:
             digest = xxhash.xxh64_intdigest
@@ -84,8 +109,8 @@ def blocks(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             for doc, text in zip(batch.column(0), batch.column(1), strict=True):
-                words, number = words_of(text.as_py()), vocabulary.setdefault
-                found = np.fromiter((number(w, len(vocabulary)) for w in words), np.int32, len(words))
+                words = words_of(text.as_py())
+                found = np.fromiter(map(vocabulary.__getitem__, words), np.int32, len(words))
                 tokens.append(np.append(found + 1, 0).astype(np.int32))
                 ids.append(doc.as_py())
                 held.append(crc_of(doc.as_py()) % FOLDS == HELD_OUT)
@@ -93,134 +118,155 @@ def blocks(docs: DataFrame) -> DataFrame:
                 size += len(words) + 1
                 if size >= BLOCK_TOKENS:
                     yield row()
-                    ids, held, lengths, tokens, vocabulary, size, n = [], [], [], [], {}, 0, n + 1
+                    ids, held, lengths, tokens, vocabulary, size, n = [], [], [], [], Numbers(), 0, n + 1
         if ids:
             yield row()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, BLOCK)
+    return only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, BLOCK)
 
 
 class Block:
-    """A block's texts, and the states and arcs that they can reach, in a fixed order."""
+    """A block's texts and their n-grams: words by number, pairs as previous * size + word, triples as number of the pair
+    before * size + word, each sorted; last is a triple's last pair."""
 
-    def __init__(self, row: dict, shards: int):
+    def __init__(self, row: dict):
         self.ids, self.held, self.lengths = row["doc_ids"], np.array(row["held_out"], bool), np.frombuffer(row["lengths"], np.int64)
         self.tokens, self.hashes = unpacked(row["tokens"], np.int32).astype(np.int64), np.frombuffer(row["hashes"], np.uint64)
-        self.trained = np.repeat(~self.held, self.lengths)
-        self.starts = np.cumsum(self.lengths) - self.lengths
-        before = np.empty_like(self.tokens)
-        before[1:] = self.tokens[:-1]
-        before[self.starts] = 0
-        self.before, self.shards = before, shards
-        size = len(self.hashes)
-        self.pairs, self.pair_of = np.unique(before * size + self.tokens, return_inverse=True)
-        self.a, self.b = np.divmod(self.pairs, size)
-        # the order in which words and pairs are asked for: by shard, then by number
-        self.word_shard = (self.hashes % np.uint64(shards)).astype(np.int64)
-        self.pair_shard = (_mixed(self.hashes[self.a], self.hashes[self.b]) % np.uint64(shards)).astype(np.int64)
-        self.word_order, self.pair_order = (np.argsort(x, kind="stable") for x in (self.word_shard, self.pair_shard))
-
-    def asked(self, name: str) -> Iterator[tuple]:
-        size, edges = len(self.hashes), np.arange(self.shards + 1)
-        words = np.bincount(self.tokens[self.trained], minlength=size)
-        pairs = np.bincount(self.pair_of[self.trained], minlength=len(self.pairs))
-        at = np.searchsorted(self.word_shard[self.word_order], edges)
-        for s in range(self.shards):
-            own = self.word_order[at[s] : at[s + 1]]
-            if len(own):
-                yield "word", s, name, _in_bytes(self.hashes[own], 8), b"", b"", packed(words[own].astype(np.uint32))
-        at = np.searchsorted(self.pair_shard[self.pair_order], edges)
-        for s in range(self.shards):
-            own = self.pair_order[at[s] : at[s + 1]]
-            if len(own):
-                a = self.a[own]
-                first = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
-                runs = np.diff(np.append(first, len(a))).astype(np.uint32)
-                yield "pair", s, name, _in_bytes(self.hashes[a[first]], 8), packed(runs), _in_bytes(self.hashes[self.b[own]], 5), packed(pairs[own].astype(np.uint32))
+        self.starts, self.size = np.cumsum(self.lengths) - self.lengths, len(self.hashes)
+        first = np.zeros(len(self.tokens), bool)
+        first[self.starts] = True
+        before = np.where(first, 0, np.roll(self.tokens, 1))
+        self.pairs, self.pair_of = np.unique(before * self.size + self.tokens, return_inverse=True)
+        self.later = np.flatnonzero(~first)  # a text's first token has no triple
+        self.triples, at, self.triple_of = np.unique(self.pair_of[self.later - 1] * self.size + self.tokens[self.later], return_index=True, return_inverse=True)
+        self.last = self.pair_of[self.later[at]]
+        self.a, self.b = np.divmod(self.pairs, self.size)
+
+    def grams(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """n, the keys of the block's n-grams, and which n-gram ends at each token that has one."""
+        pair_hashes, spare = _mixed(self.hashes[self.a], self.hashes[self.b]), np.uint64(64 - KEY_BITS)
+        yield 1, self.hashes >> spare, self.tokens
+        yield 2, pair_hashes >> spare, self.pair_of
+        yield 3, _mixed(pair_hashes[self.triples // self.size] ^ _MIX, self.hashes[self.triples % self.size]) >> spare, self.triple_of
+
+    def asked(self, name: str, shards: int) -> Iterator[tuple]:
+        trained = np.repeat(~self.held, self.lengths)
+        for n, keys, of in self.grams():
+            counts = np.bincount(of[trained[self.later] if n == 3 else trained], minlength=len(keys)).astype(np.uint32)
+            order = np.argsort(keys, kind="stable")
+            keys, counts = keys[order], counts[order]
+            at = np.searchsorted(shard_of(keys, shards), np.arange(shards + 1))
+            for s in np.flatnonzero(np.diff(at)).tolist():
+                own = slice(at[s], at[s + 1])
+                yield n, s, name, packed_keys(keys[own]), packed(counts[own]), None
+
+    def answered(self, answers: list[dict]) -> dict[int, np.ndarray]:
+        """Counts of the block's n-grams from the shards' answers."""
+        found = {}
+        for n, keys, _ in self.grams():
+            own = [unpacked(r["n"], np.int64) for r in sorted((r for r in answers if r["grams"] == n), key=lambda r: r["shard"])]
+            found[n] = np.zeros(len(keys), np.int64)
+            found[n][np.argsort(keys, kind="stable")] = np.concatenate([np.zeros(0, np.int64), *own])
+        return found
+
+
+def _batches(rows: Iterator[tuple], size: int = 64) -> Iterator[pa.RecordBatch]:
+    held: list[tuple] = []
+    for row in rows:
+        held.append(row)
+        if len(held) == size:
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in held], t) for k, t in enumerate(_KINDS)], names=_NAMES)
+            held = []
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in held], t) for k, t in enumerate(_KINDS)], names=_NAMES)
 
 
 def _asked(shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                rows = list(Block(row, shards).asked(row["block"]))
-                kinds = (pa.string(), pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-                for i in range(0, len(rows), 256):
-                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows[i : i + 256]], t) for k, t in enumerate(kinds)], names=ASKED.replace(",", "").split()[::2])
+            for i in range(len(batch)):
+                row = batch.slice(i, 1).to_pylist()[0]
+                yield from _batches(Block(row).asked(row["block"], shards))
 
     return run
 
 
-#: What shards answer: to blocks counts of words or pairs and followers of words; to word shards followers of words; and
-#: how many words or pairs there are, occur once, occur twice, and occur in all.
-ANSWER = "kind string, shard int, block string, a binary, n binary, followers binary, stats array<bigint>"
-_ANSWER_TYPES = (pa.string(), pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
-
-
-def _table(rows: list[tuple]) -> pa.Table:
-    return pa.Table.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(_ANSWER_TYPES)], names=[x.split()[0] for x in ANSWER.split(", ")])
-
-
-def _stats(total: np.ndarray) -> list[int]:
-    return [int((total > 0).sum()), int((total == 1).sum()), int((total == 2).sum()), int(total.sum())]
-
-
-def _answered(shards: int):
-    """A shard's pairs: counts over all blocks, returned to each block; followers of each word, to the word's shard."""
-
-    def run(group: pa.Table) -> pa.Table:
-        rows = group.to_pylist()
-        a = [np.repeat(_from_bytes(r["a"], 8), unpacked(r["runs"], np.uint32)) for r in rows]
-        keys = np.concatenate([_mixed(x, _from_bytes(r["b"], 5)) for x, r in zip(a, rows, strict=True)])
-        counts = np.concatenate([unpacked(r["n"], np.uint32) for r in rows])
-        _, first, place = np.unique(keys, return_index=True, return_inverse=True)
-        total = np.bincount(place, counts).astype(np.int64)
-        ends = np.cumsum([0, *map(len, a)])
-        out = [("pair", r["shard"], r["block"], None, packed(total[place[x:y]].astype(np.uint32)), None, None) for r, x, y in zip(rows, ends[:-1], ends[1:], strict=True)]
-        words, followers = np.unique(np.concatenate(a)[first[total > 0]], return_counts=True)
-        to = (words % np.uint64(shards)).astype(np.int64)
-        for s in np.unique(to).tolist():
-            out.append(("follow", s, None, _in_bytes(words[to == s], 8), packed(followers[to == s].astype(np.uint32)), None, None))
-        out.append(("pair stats", rows[0]["shard"], None, None, None, None, _stats(total)))
-        return _table(out)
-
-    return run
-
-
-def _words(group: pa.Table) -> pa.Table:
-    """A shard's words: counts and followers over all blocks, returned to each block."""
-    rows = group.to_pylist()
-    asked, told = [r for r in rows if r["kind"] == "word"], [r for r in rows if r["kind"] == "follow"]
-    if not asked:
-        return _table([])
-    keys = [_from_bytes(r["a"], 8) for r in asked]
-    words, place = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(place, np.concatenate([unpacked(r["n"], np.uint32) for r in asked])).astype(np.int64)
-    followers = np.zeros(len(words), np.int64)
-    for r in told:
-        np.add.at(followers, np.searchsorted(words, _from_bytes(r["a"], 8)), unpacked(r["n"], np.uint32).astype(np.int64))
-    ends = np.cumsum([0, *map(len, keys)])
-    out = [("word", r["shard"], r["block"], None, packed(total[place[x:y]]), packed(followers[place[x:y]]), None) for r, x, y in zip(asked, ends[:-1], ends[1:], strict=True)]
-    out.append(("word stats", asked[0]["shard"], None, None, None, None, _stats(total)))
-    return _table(out)
+def _answered(group: pa.Table) -> pa.Table:
+    """A shard's n-grams: counts over all blocks, returned to each block in the order asked; and how many words there are and occur."""
+    out, names, kinds, shard = [], group["block"].to_pylist(), group["grams"].to_numpy(), group["shard"][0].as_py()
+    for n in (1, 2, 3):
+        own = np.flatnonzero(kinds == n).tolist()
+        if not own:
+            continue
+        keys = [unpacked_keys(group["keys"][i].as_py()) for i in own]
+        ends = np.cumsum([0, *map(len, keys)])
+        distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.bincount(place, np.concatenate([unpacked(group["n"][i].as_py(), np.uint32) for i in own]), len(distinct)).astype(np.int64)
+        out += [(n, shard, names[i], None, packed(total[place[x:y]]), None) for i, x, y in zip(own, ends[:-1], ends[1:], strict=True)]
+        if n == 1:
+            out.append((0, shard, None, None, None, [int((total > 0).sum()), int(total.sum())]))
+    return pa.Table.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(_KINDS)], names=_NAMES)
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def traverse(block: Block, counts: np.ndarray, followers: np.ndarray, pair_counts: np.ndarray, word_stats: list[int], pair_stats: list[int]) -> dict[str, np.ndarray]:
-    """Log10 probabilities of a block's texts; the arrays go by the block's words and pairs."""
-    distinct, once, twice, n = word_stats
-    share = lambda x, y: min(0.95, max(0.1, x / (x + 2 * y))) if x + y else 0.5
-    d1, d2 = share(once, twice), share(pair_stats[1], pair_stats[2])
-    root = np.where(counts > 0, (counts - d1) / n, d1 * distinct / n) if n else np.ones(len(counts))
-    known = np.maximum(counts, 1)
-    failure = np.where(counts > 0, d2 * followers / known, 1.0)  # an unknown word leads to the root state itself
-    arc = np.maximum(pair_counts - d2, 0) / known[block.a]
-    weight = np.log10(arc + failure[block.a] * root[block.b])  # of the step from state a over word b
-    base = np.log10((counts + 0.5) / (n + 0.5 * (distinct + 1)))
+class Automaton:
+    """The part of the automaton that a block's texts can reach. Arcs are known by the n-gram that ends at a token, so none is searched for."""
+
+    def __init__(self, block: Block, counts: dict[int, np.ndarray], distinct: int, tokens: int):
+        c1, c2, c3 = counts[1], counts[2], counts[3]
+        m2, m3 = PRIOR[2], PRIOR[3]
+        p1 = (c1 + 0.5) / (tokens + 0.5 * (distinct + 1))
+        p2 = (c2 + m2 * p1[block.b]) / (c1[block.a] + m2)
+        p3 = (c3 + m3 * p2[block.last]) / (c2[block.triples // block.size] + m3)
+        self.base, nan = np.log10(p1), np.nan
+        # weights of the arcs of words and of pairs, nan where there is none, and of failure arcs; a last one for the root and for tokens without a triple
+        self.word_arc, self.pair_arc = np.where(c2 > 0, np.log10(p2), nan), np.append(np.where(c3 > 0, np.log10(p3), nan), nan)
+        self.word_failure, self.pair_failure = np.append(np.log10(m2 / (c1 + m2)), 0.0), np.append(np.log10(m3 / (c2 + m3)), 0.0)
+        self.triple_at = np.full(len(block.tokens), -1)
+        self.triple_at[block.later] = block.triple_of
+
+    def step(self, pair: np.ndarray, last: np.ndarray, word: np.ndarray, ends: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Weight of reading a word in each state, and the next states; a state is a pair, or with pair -1 a word, or
+        with last -1 too the root. ends: the pair and the triple that end at the word."""
+        weight = np.where(pair >= 0, self.pair_arc[ends[1]], np.nan)
+        fails = np.isnan(weight)
+        by_word = np.where(last >= 0, self.word_arc[ends[0]], np.nan)
+        lost = fails & np.isnan(by_word)
+        weight = np.where(fails, self.pair_failure[pair] + by_word, weight)
+        weight = np.where(lost, self.pair_failure[pair] + self.word_failure[last] + self.base[word], weight)
+        return weight, np.where(lost, -1, ends[0]), word
+
+    def read(self, block: Block) -> np.ndarray:
+        """The weight of every token of the block's texts."""
+        parts = block.lengths // SEGMENT + 1
+        first, stop = np.repeat(block.starts, parts), np.repeat(block.starts + block.lengths, parts)
+        number = np.arange(len(first)) - np.repeat(np.cumsum(parts) - parts, parts)
+        begin, end = first + number * SEGMENT, np.minimum(first + (number + 1) * SEGMENT, stop)
+        begin, end, number = (x[begin < end] for x in (begin, end, number))
+        at = begin - np.where(number > 0, 2, 0)
+        order = np.argsort(at - end, kind="stable")  # longest first, so that those still read are the first ones
+        at, end, begin, number = at[order], end[order], begin[order], number[order]
+        pair, last, out = np.full(len(at), -1), np.where(number > 0, -1, 0), np.zeros(len(block.tokens))
+        left = end - at
+        for k in range(int(left.max(initial=0))):
+            n = int(np.searchsorted(-left, -k, side="left"))
+            here = at[:n] + k
+            weight, pair, last = self.step(pair[:n], last[:n], block.tokens[here], (block.pair_of[here], self.triple_at[here]))
+            counts = here >= begin[:n]
+            out[here[counts]] = weight[counts]
+        return out
+
+
+def scored(block: Block, counts: dict[int, np.ndarray], distinct: int, tokens: int) -> pa.Table:
+    """The result rows of a block's texts."""
+    automaton = Automaton(block, counts, distinct, tokens)
     texts = lambda v: np.add.reduceat(v, block.starts)
-    return {"n_known": texts((counts > 0)[block.tokens].astype(np.int64)), "base_score": texts(base[block.tokens]), "score": texts(weight[block.pair_of])}
+    return pa.table({
+        "doc_id": pa.array(block.ids, pa.int64()), "held_out": pa.array(block.held), "n_tokens": pa.array(block.lengths), "n_known": pa.array(texts((counts[1] > 0)[block.tokens].astype(np.int64))),
+        "train_tokens": pa.array(np.full(len(block.ids), tokens, np.int64)), "base_score": pa.array(texts(automaton.base[block.tokens])), "score": pa.array(texts(automaton.read(block))),
+    })
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
@@ -230,37 +276,14 @@ def score_documents(docs: DataFrame) -> DataFrame:
     if tokens is None:
         return docs.sparkSession.createDataFrame([], SCORES)
     shards = max(1, -(-int(tokens) // SHARD_ENTRIES))
-    asked = stored.mapInArrow(_asked(shards), ASKED)
-    pairs = cut(asked.filter("kind = 'pair'").groupBy("shard").applyInArrow(_answered(shards), ANSWER))
-    release(docs.sparkSession)  # what blocks asked for is the largest shuffle, and its answers are stored now
-    narrow = asked.filter("kind = 'word'").select("kind", "shard", "block", "a", "n")
-    words = cut(narrow.unionByName(pairs.filter("kind = 'follow'").select("kind", "shard", "block", "a", "n")).groupBy("shard").applyInArrow(_words, ANSWER))
-
-    def summed(df: DataFrame, kind: str) -> list[int]:
-        return [int(x or 0) for x in df.filter(F.col("kind") == kind).select(*(F.sum(F.get("stats", F.lit(i))) for i in range(4))).first()]
+    answers = cut(stored.mapInArrow(_asked(shards), MESSAGE).groupBy("shard").applyInArrow(_answered, MESSAGE))
+    distinct, train = (int(x or 0) for x in answers.filter("grams = 0").select(*(F.sum(F.get("stats", F.lit(i))) for i in range(2))).first())
 
-    word_stats, pair_stats = summed(words, "word stats"), summed(pairs, "pair stats")
-
-    def scored(left: pa.Table, right: pa.Table) -> pa.Table:
-        found = []
-        answers = right.to_pylist()
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        found, replies = [], right.to_pylist()
         for row in left.to_pylist():
-            block = Block(row, shards)
-            values = {}
-            for kind, order in (("word", block.word_order), ("pair", block.pair_order)):
-                own = sorted((r for r in answers if r["kind"] == kind), key=lambda r: r["shard"])
-                values[kind] = np.zeros(len(order), np.int64)
-                values[kind][order] = np.concatenate([unpacked(r["n"], np.int64 if kind == "word" else np.uint32) for r in own])
-                if kind == "word":
-                    followers = np.zeros(len(order), np.int64)
-                    followers[order] = np.concatenate([unpacked(r["followers"], np.int64) for r in own])
-            scores = traverse(block, values["word"], followers, values["pair"], word_stats, pair_stats)
-            n = len(block.ids)
-            found.append(pa.table({
-                "doc_id": pa.array(block.ids, pa.int64()), "held_out": pa.array(block.held), "n_tokens": pa.array(block.lengths), "n_known": pa.array(scores["n_known"]),
-                "train_tokens": pa.array(np.full(n, word_stats[3], np.int64)), "base_score": pa.array(scores["base_score"]), "score": pa.array(scores["score"]),
-            }))
-        return pa.concat_tables(found) if found else pa.Table.from_pylist([], pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), *((x, pa.int64()) for x in ("n_tokens", "n_known", "train_tokens")), ("base_score", pa.float64()), ("score", pa.float64())]))
-
-    answers = pairs.filter("kind = 'pair'").unionByName(words.filter("kind = 'word'")).select("block", "kind", "shard", "n", "followers")
-    return stored.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(scored, SCORES)
+            block = Block(row)
+            found.append(scored(block, block.answered(replies), distinct, train))
+        return pa.concat_tables(found)
+
+    return stored.groupBy("block").cogroup(answers.filter("grams > 0").select("block", "grams", "shard", "n").groupBy("block")).applyInArrow(run, SCORES)
