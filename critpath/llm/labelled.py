@@ -7,28 +7,29 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from critpath.llm.common import crc_mod
+from critpath.llm.common import crc_mod, only
 
-#: Labelled documents of each class that a model is fitted on, and how much of each: a bounded sample.
-PER_CLASS, FIT_CHARS = 2000, 8_000
 #: Rows whose crc32(doc_id) leaves this remainder are held out of learning.
 FOLDS, HELD_OUT = 3, 1
 
 
-def sample(docs: DataFrame, labels: DataFrame, column: str, per_class: int = PER_CLASS, chars: int = FIT_CHARS) -> tuple[list[str], list[str]]:
-    """Texts labelled 1 and texts labelled 0, in an order that depends on the doc_id alone; copies once.
+def _usable(labels: DataFrame, column: str) -> DataFrame:
+    """doc_id, y of the documents to learn from; those with labels of both kinds are left out."""
+    rows = only(labels, "doc_id", column).filter(crc_mod("doc_id", FOLDS) != HELD_OUT).select("doc_id", F.col(column).cast("int").alias("y")).filter("doc_id is not null and y in (0, 1)")
+    return rows.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("most")).filter("y = most").select("doc_id", "y")
 
-    The labels are cut to per_class rows each before they meet the documents, so the broadcast side is bounded.
+
+def sample(docs: DataFrame, labels: DataFrame, column: str, ones: int, zeros: int) -> tuple[list[str], list[str]]:
+    """Whole texts of at most so many documents labelled 1 and 0, in an order that depends on the doc_id alone; copies once.
+
+    The labels are cut before they meet the documents, so the broadcast side is bounded, and rows of one doc_id become
+    one before they reach the driver.
     """
-    usable = labels.filter(crc_mod("doc_id", FOLDS) != HELD_OUT).select("doc_id", F.col(column).cast("int").alias("y")).filter("doc_id is not null and y in (0, 1)")
-    order = F.xxhash64("doc_id", F.lit(7))
-    picked = None
-    for y in (1, 0):
-        some = usable.filter(F.col("y") == y).orderBy(order, "doc_id").limit(per_class)
-        picked = some if picked is None else picked.unionByName(some)
-    rows = docs.select("doc_id", F.substring("text", 1, chars).alias("text")).join(F.broadcast(picked.distinct()), "doc_id")
-    found = rows.filter("text is not null").select("doc_id", "y", "text").toArrow().to_pylist()
-    found.sort(key=lambda r: (hash_of(r["doc_id"]), r["doc_id"], r["text"]))
+    usable, order = _usable(labels, column), F.xxhash64("doc_id", F.lit(7))
+    picked = usable.filter("y = 1").orderBy(order, "doc_id").limit(ones).unionByName(usable.filter("y = 0").orderBy(order, "doc_id").limit(zeros))
+    rows = only(docs, "doc_id", "text").filter("text is not null").join(F.broadcast(picked), "doc_id")  # ones + zeros rows
+    found = rows.groupBy("doc_id", "y").agg(F.min("text").alias("text")).toArrow().to_pylist()
+    found.sort(key=lambda r: (hash_of(r["doc_id"]), r["doc_id"]))
     texts: tuple[dict, dict] = ({}, {})
     for r in found:
         texts[r["y"]].setdefault(r["text"], None)
@@ -36,9 +37,8 @@ def sample(docs: DataFrame, labels: DataFrame, column: str, per_class: int = PER
 
 
 def share(labels: DataFrame, column: str) -> float:
-    """The share of label 1 among all rows to learn from (0.5 without any)."""
-    y = F.col(column).cast("int")
-    ones, every = labels.filter(crc_mod("doc_id", FOLDS) != HELD_OUT).filter(y.isin(0, 1)).select(F.sum(y), F.count(y)).first()
+    """The share of label 1 among all documents to learn from (0.5 without any)."""
+    ones, every = _usable(labels, column).select(F.sum("y"), F.count("y")).first()
     return (ones or 0) / every if every else 0.5
 
 
@@ -70,3 +70,24 @@ def monotone(p: np.ndarray, n: np.ndarray) -> np.ndarray:
             total = u[1] + w
             blocks[-1] = [(u[0] * u[1] + v * w) / total if total else (u[0] + v) / 2, total, u[2] + k]
     return np.concatenate([np.full(int(k), v) for v, _, k in blocks])
+
+
+class Curve:
+    """The probability of label 1 at a figure: nondecreasing, straight between the centres of the blocks that
+    monotone() makes, with a slope of 1e-6 in all besides so that scores keep the figures' order."""
+
+    def __init__(self, figures: np.ndarray, y: np.ndarray, share: float):
+        """share: of label 1 where the curve is used; the rows given may hold any other."""
+        ones = max(1e-9, min(1 - 1e-9, share))
+        weight = np.where(y == 1, ones / max(1, (y == 1).sum()), (1 - ones) / max(1, (y == 0).sum()))
+        x, inverse = np.unique(figures, return_inverse=True)
+        w = np.bincount(inverse, weight, len(x))
+        p = monotone(np.bincount(inverse, weight * y, len(x)) / w, w)
+        starts = np.flatnonzero(np.append(True, p[1:] != p[:-1]))
+        total = np.add.reduceat(w, starts)
+        self.x = np.add.reduceat(w * x, starts) / total
+        least = 0.5 / max(2, len(y))  # no probability is 0 or 1
+        self.p = np.clip(p[starts], least, 1 - least)
+
+    def of(self, figures: np.ndarray) -> np.ndarray:
+        return np.clip(np.interp(figures, self.x, self.p) * (1 - 2e-6) + 1e-6 + 1e-6 * np.tanh(figures), 0, 1)

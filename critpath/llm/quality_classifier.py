@@ -1,8 +1,9 @@
 """Quality by compression: zstandard dictionaries of good and bad labelled text.
 
-Every window of a text is compressed under both. The score comes from the normalised difference of the summed sizes
-((good - bad) / (good + bad)) and the sizes per byte of text, calibrated by a few boosted trees on labelled rows that
-are not in the dictionaries.
+Every window of a text is compressed under both. The score comes from the normalised difference of the summed sizes,
+(bad - good) / (bad + good), and from nothing else: a nondecreasing curve, fitted on labelled documents that are not in
+the dictionaries, turns it into a probability. Both dictionaries are of one size and hold short windows of the training
+texts, dealt alike over the texts, so that a long text gives no more of them than a short one while there is a choice.
 
 Defined results: null and empty texts are one empty window and get a score like any other; repeated rows keep a row
 each; with too few labels of a kind every score is the share of good labels (0.5 with none); columns other than doc_id
@@ -13,48 +14,62 @@ from __future__ import annotations
 
 import pickle
 import random
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
-from critpath.llm import boosting, labelled
+from critpath.llm import labelled
+from critpath.llm.common import appended
 
-WINDOW, LEVEL, DICTIONARY_BYTES, WINDOWS_PER_DOC, CUT = 1024, 6, 1 << 16, 6, 0.5
+#: Labelled documents of each class that a model is fitted on, whole texts; two of three go into the dictionaries.
+PER_CLASS, APART = 2000, 3
+WINDOW, LEVEL, DICTIONARY_BYTES, CUT = 256, 6, 1 << 18, 0.5
 
 
-def dictionary(texts: list[bytes]) -> bytes:
-    """Windows of the texts in a fixed mixed order, DICTIONARY_BYTES of them."""
-    parts = [t[i : i + WINDOW] for t in texts for i in range(0, min(len(t), WINDOWS_PER_DOC * WINDOW), WINDOW)]
-    random.Random(1).shuffle(parts)
-    return b"\n".join(parts)[:DICTIONARY_BYTES]
+def windows(text: str | None) -> list[bytes]:
+    data = (text or "").encode()
+    return [data[i : i + WINDOW] for i in range(0, max(1, len(data)), WINDOW)]
+
+
+def dictionary(texts: list[str], size: int) -> bytes:
+    """size bytes of windows: a text's windows in a fixed mixed order, the first of every text, then the second, and so on."""
+    draw, dealt = random.Random(1), [windows(t) for t in texts]
+    for d in dealt:
+        draw.shuffle(d)
+    chosen, total, turn = [], 0, 0
+    while total < size and any(len(d) > turn for d in dealt):
+        more = [d[turn] for d in dealt if len(d) > turn]
+        chosen += more
+        total += sum(len(w) + 1 for w in more)
+        turn += 1
+    draw.shuffle(chosen)
+    return b"\n".join(chosen)[:size]
 
 
 class Model:
-    """Dictionaries and calibration; without trees, a constant."""
+    """Dictionaries and the curve; without it, a constant."""
 
-    def __init__(self, good: bytes, bad: bytes, fitted: boosting.Boosted | None, constant: float):
-        self.good, self.bad, self.fitted, self.constant, self.both = good, bad, fitted, constant, None
+    def __init__(self, good: bytes, bad: bytes, curve: labelled.Curve | None, constant: float):
+        self.good, self.bad, self.curve, self.constant, self.both = good, bad, curve, constant, None
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"both": None}
 
-    def figures(self, text: str | None) -> np.ndarray:
+    def figure(self, text: str | None) -> float:
+        """The normalised difference of the compressed sizes."""
         if self.both is None:
             self.both = [labelled.compressor(x, LEVEL) for x in (self.good, self.bad)]
-        data = (text or "").encode()
-        windows = [data[i : i + WINDOW] for i in range(0, max(1, len(data)), WINDOW)]
-        good, bad = (sum(len(c.compress(w)) for w in windows) for c in self.both)
-        d, g, b = (good - bad) / (good + bad), np.log((good + 8) / (len(data) + 8)), np.log((bad + 8) / (len(data) + 8))
-        return np.array([d, g, b])
+        parts = windows(text)
+        good, bad = (sum(len(c.compress(w)) for w in parts) for c in self.both)
+        return (bad - good) / (bad + good)
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        if self.fitted is None or not texts:
+        if self.curve is None:
             return np.full(len(texts), self.constant)
-        z = self.fitted.logits(np.array([self.figures(t) for t in texts]))
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        return self.curve.of(np.array([self.figure(t) for t in texts], float))
 
     def score(self, text: str | None) -> float:
         return float(self.scores([text])[0])
@@ -62,33 +77,27 @@ class Model:
 
 def fit(good: list[str], bad: list[str], share: float | None = None) -> Model:
     """share: of good texts among all; the sample holds as many of either kind as it can."""
-    a, b = [t.encode() for t in good], [t.encode() for t in bad]
-    if min(len(a), len(b)) < 4:
-        return Model(b" " * 8, b" " * 8, None, len(a) / (len(a) + len(b)) if a or b else 0.5)
-    model = Model(dictionary(a[::2]), dictionary(b[::2]), None, 0.5)
-    x = np.array([model.figures(t) for t in good[1::2] + bad[1::2]])
-    y = np.array([1.0] * len(good[1::2]) + [0.0] * len(bad[1::2]))
-    model.fitted = boosting.fit(x, y, rate=0.15)
-    if share is not None and 0 < share < 1:
-        model.fitted.base += np.log(share / (1 - share)) - np.log(y.sum() / (len(y) - y.sum()))
+    share = share if share is not None else len(good) / (len(good) + len(bad)) if good or bad else 0.5
+    if min(len(good), len(bad)) < 2 * APART:
+        return Model(b" " * 8, b" " * 8, None, share)
+    own, apart = ([[t for i, t in enumerate(x) if (i % APART == 0) == held] for x in (good, bad)] for held in (False, True))
+    size = min(DICTIONARY_BYTES, *(sum(len(t.encode()) + 1 for t in x) for x in own))
+    model = Model(*(dictionary(x, size) for x in own), None, share)
+    figures = np.array([model.figure(t) for x in apart for t in x])
+    model.curve = labelled.Curve(figures, np.repeat([1, 0], [len(x) for x in apart]), share)
     return model
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    return fit(*labelled.sample(docs, labels, "quality"), labelled.share(labels, "quality"))
+    return fit(*labelled.sample(docs, labels, "quality", PER_CLASS, PER_CLASS), labelled.share(labels, "quality"))
 
 
 def score_documents(docs: DataFrame, model: Model, carry: list[str]) -> DataFrame:
-    """The carried columns of docs and quality_score (with a leading underscore if that name is carried)."""
-    name = "_quality_score" if "quality_score" in carry else "quality_score"
+    """The carried columns of docs and quality_score (with leading underscores if that name is carried)."""
     shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))  # two dictionaries of DICTIONARY_BYTES
-    rows = docs.select(F.col("text").alias("_scored_text"), *carry)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def made() -> Callable[..., list[pa.Array]]:
         own: Model = pickle.loads(shared.value)
-        for batch in batches:
-            scores = pa.array(own.scores(batch.column(0).to_pylist()), pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], scores], names=[*batch.schema.names[1:], name])
+        return lambda texts: [pa.array(own.scores(texts.to_pylist()), pa.float64())]
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:]] + [f"`{name}` double"])
-    return rows.mapInArrow(run, schema)
+    return appended(docs, ["text"], carry, {"quality_score": DoubleType()}, made)
