@@ -6,8 +6,8 @@ items where a seed occurs and aligns the passage around it with the whole item.
 a perfect one; a passage from CUT on is a leak. Before an alignment an exact bound is taken: it can't score more than
 the words that passage and item have in common. A copy without any n-gram of its item is not seen.
 
-The items are broadcast in blocks of at most BLOCK_BYTES of text, one scan of the documents for each block, so the
-broadcast is bounded whatever the size of the benchmark. Documents are never shuffled.
+The items are broadcast in blocks of at most twice BLOCK_BYTES of text (checked), half of it on average, one scan of the
+documents for each block. The driver builds one block at a time. Documents are never shuffled.
 
 Defined results: null, empty and wordless texts and items match nothing; items shorter than an n-gram are one seed of
 all their words; repeated documents and items give repeated rows; a null doc_id or item_id stays null; of several
@@ -18,14 +18,16 @@ rows in either table, no leaks.
 from __future__ import annotations
 
 import string
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SEED_WORDS, RARE_SHARE, CUT = 3, 0.75, 0.5
+from critpath.llm.common import filtered, only
+
+SEED_WORDS, CUT = 3, 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK_BYTES = 8 << 20
 _BLANK = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
@@ -87,18 +89,6 @@ class Items:
             out, known = out * self.size + part + 1, known & (part >= 0)
         return np.where(known, out, -1)
 
-    def rarest(self, counts: np.ndarray) -> None:
-        """Keep the rarest share of each item's seeds; ties are kept. Loses edited copies: find_leaks keeps all seeds."""
-        n = np.repeat(counts, self.last - self.first)  # of each place
-        keep = np.zeros(len(n), bool)
-        order = np.lexsort((n, self.item))
-        ends = np.searchsorted(self.item[order], np.arange(len(self.words) + 1))
-        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-            own = order[a:b]
-            if len(own):
-                keep[own] = n[own] <= n[own[max(0, int(np.ceil(RARE_SHARE * len(own))) - 1)]]
-        self.keep(self.code[keep], self.item[keep], self.place[keep])
-
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
     """Best local alignment (Smith-Waterman): score, start and end of it in the passage."""
@@ -155,22 +145,27 @@ def leaks_in(items: Items, ids: np.ndarray) -> list[tuple[int, float, int, int]]
     return found
 
 
-def _blocks(benchmark: DataFrame) -> list[Items]:
-    """The items in blocks, with all their seeds."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null")
-    size = items.select(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-size // BLOCK_BYTES))
-    blocks = []
+def _blocks(benchmark: DataFrame) -> Iterator[Items]:
+    """The items in blocks, with all their seeds, one block at a time on the driver.
+
+    Items are dealt by a hash of id and text, copies apart by their number, so neither null nor repeated ids make a block
+    larger than the others.
+    """
+    items = only(benchmark, "item_id", "text").select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null").groupBy("item_id", "text").agg(F.count("*").alias("copies"))
+    size = items.select(F.sum(F.octet_length("text") * F.col("copies"))).first()[0] or 0
+    n = max(1, -(-2 * size // BLOCK_BYTES) if size > BLOCK_BYTES else 1)  # half full on average
+    parts = items.withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).withColumn("block", F.pmod(F.xxhash64("item_id", "text", "k"), F.lit(n)))
     for b in range(n):
-        rows = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == b).collect()
-        blocks.append(Items(sorted((tuple(r) for r in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))))
-    return blocks
+        rows = parts.filter(F.col("block") == b).select("item_id", "text").collect()
+        if sum(len(r[1].encode()) for r in rows) > 2 * BLOCK_BYTES:
+            raise ValueError("a test item is longer than a block")
+        yield Items(sorted((tuple(r) for r in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1])))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, score, first_word, last_word (exclusive) of each item that leaks into a document."""
     schema = "doc_id long, item_id long, score double, first_word long, last_word long"
-    found = None
+    found, rows_of = None, only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     for block in _blocks(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
@@ -181,7 +176,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=schema.replace(",", "").split()[::2])
 
-        part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+        part = rows_of.mapInArrow(run, schema)
         found = part if found is None else found.unionByName(part)
     return found
 
@@ -189,12 +184,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs into which no item leaks, all columns as they are."""
     for block in _blocks(benchmark):
-        shared, at = docs.sparkSession.sparkContext.broadcast(block), docs.columns.index("text")
+        shared = docs.sparkSession.sparkContext.broadcast(block)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, at=at) -> Iterator[pa.RecordBatch]:
+        def made(shared=shared) -> Callable[..., pa.Array]:
             own = shared.value
-            for batch in batches:
-                yield batch.filter(pa.array([not leaks_in(own, own.read(t.as_py())) for t in batch.column(at)], pa.bool_()))
+            return lambda texts: pa.array([not leaks_in(own, own.read(t.as_py())) for t in texts], pa.bool_())
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = filtered(docs, ["text"], made)
     return docs

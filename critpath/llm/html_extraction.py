@@ -17,15 +17,16 @@ from __future__ import annotations
 import math
 import pickle
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from critpath.llm import boosting, html_training
+from critpath.llm.common import appended
 from critpath.llm.html_tree import SILENT, Node, parse, walk
 
 TRAINING_PAGES = 1500
@@ -140,19 +141,11 @@ def trained(n: int = TRAINING_PAGES) -> bytes:
 
 
 def extract(pages: DataFrame, carry: list[str] | None = None) -> DataFrame:
-    """The carried columns of pages (page_id, url) and text."""
-    carry = ["page_id", "url"] if carry is None else carry
-    name = "_text" if "text" in carry else "text"
+    """The carried columns of pages (page_id, url) and text (with leading underscores if that name is carried)."""
     shared = pages.sparkSession.sparkContext.broadcast(trained())
-    rows = pages.select(F.col("html").alias("_html"), *carry)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def made() -> Callable[..., list[pa.Array]]:
         model: Extractor = pickle.loads(shared.value)
-        for batch in batches:
-            for i in range(0, len(batch), 64):
-                part = batch.slice(i, 64)
-                texts = model.texts([x.as_py() for x in part.column(0)])
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(texts, pa.string())], names=[*part.schema.names[1:], name])
-
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:]] + [f"`{name}` string"])
-    return rows.mapInArrow(run, schema)
+        return lambda htmls: [pa.array(model.texts([x.as_py() for x in htmls]), pa.string())]
+
+    return appended(pages, ["html"], ["page_id", "url"] if carry is None else carry, {"text": StringType()}, made, 64)

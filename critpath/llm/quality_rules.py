@@ -5,23 +5,26 @@ share of tokens that are single bytes, and the entropy of the tokens in bits. A
 the band of its language or, for other languages, of its main script; short or repetitive texts fail before that.
 
 Defined results: null and empty texts have no words and fail; ties do not occur; repeated rows keep a row each; without
-a lang column, or for a null or unknown language, the script decides; other columns are ignored; no rows, no rows.
+a lang column (text), or for a null or unknown language, the script decides; other columns are ignored and may have any
+name; no rows, no rows.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import BooleanType, DoubleType, LongType
 
 from critpath.llm.bpe import CACHE_CHARS, CACHE_ROWS
+from critpath.llm.common import appended, filtered
 
 VOCABULARY = "piece_bpe_32k.model"
 WORD, SPACE, SYMBOLS = re.compile(r"[^ \t-\r]+"), " \t\n\v\f\r", "#*$%&|<>"
@@ -168,38 +171,52 @@ def verdict(m: dict, text: str, lang: str | None, rules: Rules) -> tuple[bool, b
     return False, good
 
 
-_FIGURES = {"n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup_lines": "long", "n_repeat_words": "long", "base_failed": "boolean", "kept": "boolean", "n_tokens": "long", "chars_per_token": "double", "byte_share": "double", "entropy": "double"}
+_FIGURES = {k: LongType() for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")} | {"base_failed": BooleanType(), "kept": BooleanType(), "n_tokens": LongType(), "chars_per_token": DoubleType(), "byte_share": DoubleType(), "entropy": DoubleType()}
 
 
-def apply_rules(docs: DataFrame, carry: list[str], rules: Rules | None = None, path: str | None = None) -> DataFrame:
-    """The carried columns of docs with a text's figures and verdict; carry may name text itself."""
+def _judge(rules: Rules | None, path: str | None) -> Callable[[], Callable[[str | None, str | None], dict]]:
+    """Gives a worker its function from text and language to figures and verdict."""
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path(VOCABULARY)
-    rules, figures = rules or Rules(), {f"_{k}" if k in carry else k: t for k, t in _FIGURES.items()}
-    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-    rows = docs.select(F.coalesce("text", F.lit("")).alias("_text"), lang.alias("_lang"), *carry)
+    rules = rules or Rules()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def made() -> Callable[[str | None, str | None], dict]:
         fertility = reader(path)
-        for batch in batches:
-            found: dict[str, list] = {k: [] for k in _FIGURES}
-            for text, language in zip(batch.column(0), batch.column(1), strict=True):
-                text = text.as_py()
-                m = measured(text, fertility)
-                m["base_failed"], m["kept"] = verdict(m, text, language.as_py(), rules)
-                for k in found:
-                    found[k].append(m[k])
-            kinds = {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
-            yield pa.RecordBatch.from_arrays([*batch.columns[2:], *(pa.array(found[k], kinds[t]) for k, t in _FIGURES.items())], names=[*batch.schema.names[2:], *figures])
-
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[2:]] + [f"`{k}` {t}" for k, t in figures.items()])
-    return rows.mapInArrow(run, schema)
-
-
-def kept_documents(docs: DataFrame, rules: Rules | None = None) -> DataFrame:
-    """The rows of docs that the rules keep."""
-    names = docs.columns
-    marked = apply_rules(docs, names, rules)
-    return marked.filter(marked["_kept" if "kept" in names else "kept"]).select(*names)
+
+        def judged(text: str | None, lang: str | None) -> dict:
+            m = measured(text or "", fertility)
+            m["base_failed"], m["kept"] = verdict(m, text or "", lang, rules)
+            return m
+
+        return judged
+
+    return made
+
+
+def apply_rules(docs: DataFrame, carry: list[str], rules: Rules | None = None, path: str | None = None) -> DataFrame:
+    """The carried columns of docs with a text's figures and verdict (names in use get leading underscores)."""
+    judge = _judge(rules, path)
+
+    def made() -> Callable[..., list[pa.Array]]:
+        judged = judge()
+
+        def of(texts: pa.Array, langs: pa.Array) -> list[pa.Array]:
+            found = [judged(t.as_py(), x.as_py()) for t, x in zip(texts, langs, strict=True)]
+            return [pa.array([m[k] for m in found], to_arrow_type(t)) for k, t in _FIGURES.items()]
+
+        return of
+
+    return appended(docs, ["text", "lang"], carry, _FIGURES, made)
+
+
+def kept_documents(docs: DataFrame, rules: Rules | None = None, path: str | None = None) -> DataFrame:
+    """The rows of docs that the rules keep, all columns as they are."""
+    judge = _judge(rules, path)
+
+    def made() -> Callable[..., pa.Array]:
+        judged = judge()
+        return lambda texts, langs: pa.array([judged(t.as_py(), x.as_py())["kept"] for t, x in zip(texts, langs, strict=True)], pa.bool_())
+
+    return filtered(docs, ["text", "lang"], made)

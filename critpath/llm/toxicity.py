@@ -10,28 +10,31 @@ calibrated on labelled rows that the fold's dictionaries have not seen.
 Window gains depend on the word alone, so a worker keeps them in a bounded cache.
 
 Defined results: null and empty texts have no window and a score from no hits; repeated rows keep a row each; no labels
-of either kind: every score is the share of toxic labels (0.5 with none) and nothing is above it; clashing names
-are kept apart, columns outside doc_id and text never enter a score; no rows, no rows.
+of either kind: every score is the share of toxic labels (0.5 with none) and nothing is above it; columns outside
+doc_id and text never enter a score and may have any name; no rows, no rows.
 """
 
 from __future__ import annotations
 
 import math
 import pickle
+import random
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType
 
 from critpath.llm import labelled
 from critpath.llm.bpe import CACHE_CHARS, CACHE_ROWS
-from critpath.llm.common import words_of
+from critpath.llm.common import appended, filtered, words_of
 from critpath.llm.simhash import shingle_hashes
 
+#: Labelled documents of each class that a model is fitted on, whole texts.
+PER_CLASS = 2000
 #: Bytes of the shortest match that may count (each is tried), and what makes a part of that length tell toxic texts:
 #: least odds, and least log-likelihood ratio among some ten thousand candidates.
 LENGTHS, ODDS, LEAST_EVIDENCE = (5, 6), 20.0, 9.0
@@ -118,7 +121,9 @@ class Gains(dict):
 
 
 def dictionaries(toxic: list[list[bytes]], ordinary: list[list[bytes]], n: int) -> tuple[bytes, bytes]:
-    plain = b" ".join(b" ".join(w[:60]) for w in ordinary)[:ORDINARY_BYTES] + FRAME
+    known = [w for words in ordinary for w in words]
+    random.Random(1).shuffle(known)  # so that a dictionary of ORDINARY_BYTES holds words of any place in any text
+    plain = b" ".join(known[:ORDINARY_BYTES])[:ORDINARY_BYTES] + FRAME
     return b"\n".join(segments(toxic, ordinary, n)[::-1]) + b"\n" + plain, plain
 
 
@@ -188,27 +193,36 @@ def fit(toxic: list[str], ordinary: list[str], folds: int = 3) -> Model:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    return fit(*labelled.sample(docs, labels, "toxic"))
+    return fit(*labelled.sample(docs, labels, "toxic", PER_CLASS, PER_CLASS))
+
+
+def _shared(docs: DataFrame, model: Model) -> Callable[[], Model]:
+    sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))  # under 400 kB: ORDINARY_BYTES and SEGMENTS bound it
+    return lambda: pickle.loads(sent.value)
 
 
 def score_documents(docs: DataFrame, model: Model, carry: list[str]) -> DataFrame:
-    """The carried columns of docs and toxic_score, toxic_hits (names in use get a leading underscore)."""
-    names = [f"_{x}" if x in carry else x for x in ("toxic_score", "toxic_hits")]
-    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))  # under 400 kB: ORDINARY_BYTES and SEGMENTS bound it
-    rows = docs.select(F.col("text").alias("_scored_text"), *carry)
+    """The carried columns of docs and toxic_score, toxic_hits (names in use get leading underscores)."""
+    own = _shared(docs, model)
+
+    def made() -> Callable[..., list[pa.Array]]:
+        mine = own()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: Model = pickle.loads(shared.value)
-        for batch in batches:
-            found = [own.score(x.as_py()) for x in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([x for x, _ in found], pa.float64()), pa.array([x for _, x in found], pa.int64())], names=[*batch.schema.names[1:], *names])
+        def scored(texts: pa.Array) -> list[pa.Array]:
+            found = [mine.score(x.as_py()) for x in texts]
+            return [pa.array([s for s, _ in found], pa.float64()), pa.array([n for _, n in found], pa.int64())]
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:]] + [f"`{names[0]}` double", f"`{names[1]}` long"])
-    return rows.mapInArrow(run, schema)
+        return scored
+
+    return appended(docs, ["text"], carry, {"toxic_score": DoubleType(), "toxic_hits": LongType()}, made)
 
 
 def clean_documents(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs whose score stays below CUT."""
-    names = docs.columns
-    marked = score_documents(docs, model, names)
-    return marked.filter(F.col("_toxic_score" if "toxic_score" in names else "toxic_score") < CUT).select(*names)
+    """The rows of docs whose score stays below CUT, all columns as they are."""
+    own = _shared(docs, model)
+
+    def made() -> Callable[..., pa.Array]:
+        mine = own()
+        return lambda texts: pa.array([mine.score(x.as_py())[0] < CUT for x in texts], pa.bool_())
+
+    return filtered(docs, ["text"], made)

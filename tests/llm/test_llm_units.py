@@ -42,6 +42,18 @@ def test_long_stretches_are_halved_exactly(monkeypatch):
         assert coder.stretch(data) == coder.core.encode_single_piece(data)
 
 
+def test_an_unsplit_word_is_joined_token_by_token(library):
+    """The joining task encodes next to nothing anew, and a word of 5 MB gives what the halves of one task give."""
+    coder, r = bpe.Bpe(bpe.vocabulary_path()), random.Random(6)
+    word = "".join(r.choice("aeiouthngsr") for _ in range(5_000_000))
+    pieces = [bpe.Encoded.of(coder, word[k : k + bpe.PIECE]) for k in range(0, len(word), bpe.PIECE)]
+    coder.again = 0
+    joined = bpe.tree(coder, pieces)
+    assert coder.again < 0.05 * len(word) and coder.decode(joined.ids) == word and joined.bounds.tolist() == [0, len(joined.ids)]
+    short = word[:200_000]
+    assert bpe.tree(coder, [bpe.Encoded.of(coder, short[k : k + 5000]) for k in range(0, len(short), 5000)]).ids.tolist() == library.encode(short, add_special_tokens=False).ids
+
+
 def test_chunks_end_at_split_points():
     coder, r = bpe.encoder(bpe.vocabulary_path()), random.Random(3)
     for _ in range(200):
@@ -65,13 +77,6 @@ def test_fingerprints(text):
     assert simhash.fingerprint(text) == plain_fingerprint(text, 3)
 
 
-def test_offsets_follow_the_bound():
-    for levels in simhash.LEVELS:
-        offsets = simhash._offsets(levels, 2)
-        assert (abs(offsets).sum(axis=1) <= 2).all() and len({tuple(o) for o in offsets.tolist()}) == len(offsets) == levels * (levels + 1)
-    assert simhash.levels_for(10) == 4 and simhash.levels_for(10**8) == 8 and simhash.levels_for(10**10) == 16
-
-
 def plain_alignment(a, b):
     h, best = np.zeros((len(a) + 1, len(b) + 1), int), 0
     for i in range(1, len(a) + 1):
@@ -106,7 +111,6 @@ def test_leaks_survive_edits_and_clean_text_stays():
         (found,) = decontamination.leaks_in(items, items.read(text))
         assert items.ids[found[0]] == i and found[1] >= 0.5 and 298 <= found[2] <= 303 and 327 <= found[3] <= 332
     assert [items.ids[k] for k, *_ in decontamination.leaks_in(items, items.read("a Tiny, item b"))] == [90]
-    items.rarest(np.zeros(len(items.seeds), int))
     assert decontamination.leaks_in(items, items.read(None)) == []
 
 
@@ -192,6 +196,22 @@ def test_extraction_of_unseen_pages():
     assert model.texts([None, "", "just text", "<p>a<p>b<div>c", "<b>unclosed <i>x", "<!-- only -->", "a&amp;b &lt;p&gt;\n\t c"]) == ["", "", "just text", "a b c", "unclosed x", "", "a&b <p> c"]
 
 
+@pytest.mark.parametrize("unit", ['<a x="y ', "<a ", "<a<a", "<a \"'", "<b '\"", "<!--", "<p>", '<a x="y> ', "<!", "</"])
+def test_broken_pages_are_read_in_linear_time(unit):
+    import time
+
+    began = time.process_time()
+    parse(unit * (1_000_000 // len(unit)))
+    assert time.process_time() - began < 30  # some seconds at most; the quadratic reader took about an hour
+
+
+def test_tags_with_quotes_and_broken_ones():
+    text = lambda page: html_extraction.joined(walk(parse(page)), [True] * len(walk(parse(page))))
+    assert text('<p title="a > b">x</p>') == "x" and text("1 < 2 and 3 > 2") == "1 < 2 and 3 > 2"
+    assert text('<p>a<a href="x>b</p>') == 'a<a href="x>b' and text("a<!-- > -->b<![CDATA[c]]>d<?x y>e<!z") == "abde<!z"
+    assert text("<script>if (a < b) {}</script>z</script >") == "z"
+
+
 def test_decoding_is_consistent():
     r = random.Random(9)
     for _ in range(50):
