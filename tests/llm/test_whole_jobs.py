@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -33,8 +34,36 @@ def plain_groups(rows):
     return sorted(least.values())
 
 
+def test_sketches_bound_what_differs():
+    r = np.random.default_rng(2)
+    for _ in range(200):
+        a = np.unique(r.integers(0, 1 << 63, r.integers(1, 900)).astype(np.uint64))
+        b = np.unique(np.concatenate((a[: r.integers(0, len(a) + 1)], r.integers(0, 1 << 63, r.integers(0, 300)).astype(np.uint64))))
+        x, y = (np.frombuffer(near_copies.sketch(s), np.uint64) for s in (a, b))
+        assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
+
+
+def test_a_large_group_gives_few_pairs(spark, monkeypatch):
+    """Copies of one text with edits of their own: rows grow with the group, not with its square, and the groups are whole."""
+    monkeypatch.setattr(near_copies, "MANY", 1)
+    r = random.Random(12)
+    base, rows, sizes = [f"w{i}" for i in range(80)], [], []
+    for i in range(240):
+        words = list(base)
+        for k in r.sample(range(80), r.choice([1, 1, 1, 3])):
+            words[k] = f"e{i}x{k}"
+        rows.append((i, " ".join(words)))
+    compare = near_copies._similar
+    monkeypatch.setattr(near_copies, "_similar", lambda pairs, texts, size: sizes.append(pairs.count()) or compare(pairs, texts, size))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(x.doc_id for x in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == plain_groups(rows)
+    assert len(sizes) >= 2 and sum(sizes) < 240 * 239 / 4
+
+
 @pytest.mark.parametrize("groups", [1, 64])
 def test_near_copies_are_brute_force_jaccard(spark, groups, monkeypatch):
+    if groups == 64:
+        monkeypatch.setattr(near_copies, "MANY", 0)
     monkeypatch.setattr(near_copies, "GROUP_BYTES", 1 << 30 if groups == 1 else 1)
     r = random.Random(11)
     vocabulary = ["".join(r.choice("abcdefgh") for _ in range(4)) for _ in range(400)]
