@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from critpath.schema import BOGUS, CONTROL_MESSAGE, DATA_MESSAGE, END, RECEIVED, SENT, START
+from critpath.schema import CONTROL_MESSAGE, DATA_MESSAGE, END, RECEIVED, SENT, START
 
 IN_ORDER = ("ts", "seq")
 
@@ -42,7 +42,7 @@ def clip_message_delay(trace: DataFrame, delay: int | None) -> DataFrame:
     sent = F.col("event_type") == SENT
     a = F.when(sent, F.col("local_worker")).otherwise(F.col("remote_worker"))
     b = F.when(sent, F.col("remote_worker")).otherwise(F.col("local_worker"))
-    # without counterpart or correlator a key of its own per record keeps such rows spread out; null correlators match
+    # null correlators match each other: all such messages between two workers are one key, as the matching asks for
     key = ["_from", "_to", "correlator_id"]
     so_far = W.partitionBy(*key).orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
     marked = trace.filter(is_message).withColumns({"_from": a, "_to": b})
@@ -109,11 +109,3 @@ def nesting(trace: DataFrame) -> DataFrame:
     top = F.last(F.when(is_start, F.col("activity_type")), ignorenulls=True).over(at.rowsBetween(W.unboundedPreceding, -1))
     wrong = ~is_start & (top.isNull() | (top != F.col("activity_type")))
     return found.withColumn("_wrong", wrong).groupBy(F.col("local_worker").alias("worker")).agg(F.max("_depth").cast("long").alias("max_depth"), F.sum(F.col("_wrong").cast("long")).alias("misnested"))
-
-
-def without_sentinels(trace: DataFrame) -> DataFrame:
-    return trace.filter(F.col("event_type") != BOGUS)
-
-
-def workers_list(trace: DataFrame) -> DataFrame:
-    return workers(trace).orderBy("worker")

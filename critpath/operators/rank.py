@@ -134,7 +134,10 @@ def _with_checkpoints(spark: SparkSession) -> None:
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         import tempfile
 
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
 
 
 def path_counts(ranked: DataFrame, pag: DataFrame) -> DataFrame:
@@ -144,6 +147,12 @@ def path_counts(ranked: DataFrame, pag: DataFrame) -> DataFrame:
     return sums.groupBy("epoch").agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("paths"))
 
 
+def path_counts_at_start(ranked: DataFrame, window: int) -> DataFrame:
+    """The same as path_counts from ranked edges alone: start nodes are at the tick before an epoch, so the graph isn't built again."""
+    leaving = F.col("src_ts") == F.col("epoch") * window - 1
+    return ranked.groupBy("epoch").agg(F.coalesce(F.sum(F.when(leaving, F.nanvl("bc", F.lit(0.0)).cast("long"))), F.lit(0)).cast("long").alias("paths"))
+
+
 def seed_nodes(pag: DataFrame, seed: int = 0) -> DataFrame:
     """One start node of each epoch, by hash."""
     node = F.struct(F.col("dst_ts").alias("ts"), F.col("dst_worker").alias("worker"))

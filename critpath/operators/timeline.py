@@ -113,9 +113,9 @@ def pieces(trace: DataFrame, halves: DataFrame, window: int, mode: str = "auto")
     by_window = nested_pieces(stacked if mode == "window" else stacked.filter("not overlap")).select(*names)
     if mode == "window":
         return by_window
+    # all columns of the stack go along: both branches then read one shuffle
     rest = stacked if mode == "grouped" else stacked.filter("overlap")
-    plain = rest.select("epoch", "worker", "ts", "rank", "seq", "event_type", "activity", "operator_id")
-    grouped = plain.groupBy(F.expr(f"epoch div {EPOCHS_PER_CALL}"), "worker").applyInPandas(overlapping_pieces, PIECES)
+    grouped = rest.groupBy(F.expr(f"epoch div {EPOCHS_PER_CALL}"), "worker").applyInPandas(overlapping_pieces, PIECES)
     return grouped if mode == "grouped" else by_window.unionByName(grouped)
 
 

@@ -33,7 +33,7 @@ class Analysis:
 
     @property
     def paths(self) -> DataFrame:
-        return rank.path_counts(self.ranked, self.graph)
+        return rank.path_counts_at_start(self.ranked, self.config.window)
 
     def path_summaries(self, seed: int = 0, pick: str = "random") -> DataFrame:
         return summary.summarise_path(rank.single_path(self.graph, seed, pick))

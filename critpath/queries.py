@@ -12,7 +12,7 @@ from critpath.config import Config
 from critpath.operators import messages, pag, prep, rank, summary, timeline
 from critpath.plans.pipeline import Analysis
 from critpath.plans.sweep import Sweep
-from critpath.schema import ACTIVITIES, BARRIER_PROCESSING, RECORD_COLUMNS, UNKNOWN, WAITING, is_worker_local
+from critpath.schema import ACTIVITIES, BARRIER_PROCESSING, END, RECORD_COLUMNS, START, UNKNOWN, WAITING, is_worker_local
 from critpath.sources import sinks, svg
 from critpath.sources.derived import HOUR, MINUTE, TEN_SECONDS, from_events
 from critpath.sources.synth import Pyramid, pyramid
@@ -130,7 +130,22 @@ def start_end_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def broken_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return timeline.broken_chains(worker_timeline(spark, sf_dir)).select(*EDGE)
+    """Of the activities before gaps are filled, so that there are some; filled timelines have none (a test holds that)."""
+    edges = _pieces(spark, sf_dir).filter("not is_remote").select("epoch", F.col("worker").alias("src_worker"), F.col("k1").alias("src_ts"), F.col("k2").alias("dst_ts"))
+    return timeline.broken_chains(edges).select("epoch", "src_worker", "src_ts", "dst_ts", "before")
+
+
+def epochs_mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A function of an epoch's records, applied to every epoch."""
+
+    def shape(records):
+        return records.groupby("epoch", as_index=False).agg(records=("seq", "size"), workers=("local_worker", "nunique"), first=("ts", "min"))
+
+    return rank.iterate_epochs(_sliced(spark, sf_dir), shape, "epoch long, records long, workers long, first long")
+
+
+def count_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.count_lines({"records": _sliced(spark, sf_dir), "messages": message_edges(spark, sf_dir)})
 
 
 def pag_edges_traversal(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,12 +222,14 @@ def zero_filled_product(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trace_quality_double_start(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prep.double_starts(trace_of(spark, sf_dir)).select("seq", "local_worker", "activity_type", "depth")
+    """Of all workers' records as if they were one worker's, whose activities then start twice."""
+    return prep.double_starts(trace_of(spark, sf_dir).withColumn("local_worker", F.lit(0).cast("long"))).select("seq", "local_worker", "activity_type", "depth")
 
 
 def trace_quality_underflow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over the second half of every activity alone: all of them end without a start."""
-    return prep.underflows(trace_of(spark, sf_dir).filter("event_type = 2")).select("seq", "local_worker", "activity_type", "depth")
+    """With starts and ends exchanged, so that activities end before they start."""
+    swapped = F.when(F.col("event_type") == START, END).when(F.col("event_type") == END, START).otherwise(F.col("event_type"))
+    return prep.underflows(trace_of(spark, sf_dir).withColumn("event_type", swapped)).select("seq", "local_worker", "activity_type", "depth")
 
 
 def trace_quality_max_nesting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -240,7 +257,7 @@ def pag_as_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pag_dot_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sinks.dot(_analysis(spark, sf_dir).graph).filter("part = 2").select("epoch", F.col("k").alias("src_ts"), "value")
+    return sinks.dot(_analysis(spark, sf_dir).graph)
 
 
 def summary_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -255,6 +272,10 @@ def single_path_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _analysis(spark, sf_dir).path_summaries(pick="first")
 
 
+def path_summary_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.path_summary_lines(single_path_summary(spark, sf_dir))
+
+
 def pyramid_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A generated trace: activities of four workers in three phases, without messages and by worker and time."""
     shape = Pyramid(workers=4, phases=3, phase=130_000, prefix=None, suffix=None, infix=None, send=None, receive=None)
@@ -284,7 +305,7 @@ QUERIES = {f.__name__: f for f in (
     no_insert_waiting_variant, start_end_nodes, broken_chains, pag_edges_traversal, pag_stage_counts, delayed_message_block, edge_betweenness, edge_betweenness_waiting_one, path_counts, cp_summary,
     cp_summary_six_hours, cp_normalized, cp_top_activities, cp_by_operator_pivot, cp_mean_by_worker, waiting_share_per_worker, cdf_weight, quantile_weight, zero_filled_product,
     trace_quality_double_start, trace_quality_underflow, trace_quality_max_nesting, infer_correlators, chrome_events, span_join, span_join_infer, pag_as_trace, pag_dot_lines, summary_text,
-    single_path, single_path_summary,
+    single_path, single_path_summary, path_summary_text, count_text, epochs_mapped,
 )}
 
 _W = "3600000000"
@@ -412,7 +433,7 @@ ORACLE_SQL = {
     "waiting_edges": _sql(_T, f"SELECT {_EDGE} FROM tl WHERE edge_type = 12"),
     "no_insert_waiting_variant": _sql(_T, "SELECT epoch, edge_type, count(*) AS n, CAST(sum(dst_ts - src_ts) AS BIGINT) AS ticks FROM tl GROUP BY ALL", "false"),
     "start_end_nodes": _sql(_P, "SELECT epoch, 'START' AS kind, epoch * W - 1 AS ts, worker FROM who UNION ALL SELECT epoch, 'END', (epoch + 1) * W , worker FROM who"),
-    "broken_chains": _sql(_T, f"SELECT {_EDGE} FROM tl QUALIFY lag(dst_ts) OVER (PARTITION BY epoch, src_worker ORDER BY src_ts, dst_ts) <> src_ts"),
+    "broken_chains": _sql(_P, "SELECT epoch, worker AS src_worker, k1 AS src_ts, k2 AS dst_ts, before FROM (SELECT *, lag(k2) OVER (PARTITION BY epoch, worker ORDER BY k1, k2) AS before FROM pieces WHERE NOT rem) WHERE before <> k1"),
     "pag_edges_traversal": _sql(_G, f"SELECT {_EDGE}, traverse FROM g"),
     "pag_stage_counts": _sql(_G, "SELECT a.epoch, a.n AS forward, a.n AS backward, b.n AS edges, 2 * a.n + b.n AS pag_output FROM (SELECT epoch, count(*) AS n FROM who GROUP BY 1) a JOIN (SELECT epoch, count(*) AS n FROM g GROUP BY 1) b ON a.epoch = b.epoch"),
     "delayed_message_block": _sql(_G, f"SELECT {_EDGE}, traverse FROM g WHERE traverse = 'Block' AND src_worker <> dst_worker"),
@@ -433,16 +454,22 @@ ORACLE_SQL = {
     "cdf_weight": _sql(_T, "SELECT DISTINCT edge_type, CAST(dst_ts - src_ts AS DOUBLE) AS value, cume_dist() OVER (PARTITION BY edge_type ORDER BY dst_ts - src_ts) AS share FROM tl"),
     "quantile_weight": _sql(_T, "SELECT edge_type, " + ", ".join(f"round(quantile_cont(CAST(dst_ts - src_ts AS DOUBLE), {q}), 1) AS q{i}" for i, q in enumerate((0.5, 0.95, 0.99))) + " FROM tl GROUP BY edge_type"),
     "zero_filled_product": _sql(_T, "SELECT a.epoch, b.worker, coalesce(c.n, 0) AS n FROM (SELECT DISTINCT epoch FROM tl WHERE edge_type = 12) a CROSS JOIN (SELECT DISTINCT src_worker AS worker FROM tl WHERE edge_type = 12) b LEFT JOIN (SELECT epoch, src_worker AS worker, count(*) AS n FROM tl WHERE edge_type = 12 GROUP BY ALL) c ON a.epoch = c.epoch AND b.worker = c.worker"),
-    "trace_quality_double_start": _sql(_TRACE, f"SELECT * FROM (SELECT seq, local_worker, activity_type, CAST({_DEPTH} AS BIGINT) AS depth FROM trace WHERE event_type IN (1, 2)) WHERE depth NOT IN (0, 1)"),
-    "trace_quality_underflow": _sql(_TRACE, "SELECT seq, local_worker, activity_type, -row_number() OVER (PARTITION BY local_worker, activity_type ORDER BY ts, seq) AS depth FROM trace WHERE event_type = 2"),
+    "trace_quality_double_start": _sql(_TRACE, "SELECT seq, CAST(0 AS BIGINT) AS local_worker, activity_type, depth FROM (SELECT seq, activity_type, CAST(sum(CASE event_type WHEN 1 THEN 1 ELSE -1 END) OVER (PARTITION BY activity_type ORDER BY ts, seq) AS BIGINT) AS depth FROM trace WHERE event_type IN (1, 2)) WHERE depth NOT IN (0, 1)"),
+    "trace_quality_underflow": _sql(_TRACE, "SELECT * FROM (SELECT seq, local_worker, activity_type, CAST(sum(CASE event_type WHEN 2 THEN 1 ELSE -1 END) OVER (PARTITION BY local_worker, activity_type ORDER BY ts, seq) AS BIGINT) AS depth FROM trace WHERE event_type IN (1, 2)) WHERE depth < 0"),
     "trace_quality_max_nesting": _sql(_TRACE, "SELECT local_worker AS worker, CAST(max(d) AS BIGINT) AS max_depth, CAST(0 AS BIGINT) AS misnested FROM (SELECT local_worker, sum(CASE event_type WHEN 1 THEN 1 ELSE -1 END) OVER (PARTITION BY local_worker ORDER BY ts, seq) AS d FROM trace WHERE event_type IN (1, 2)) GROUP BY 1"),
     "infer_correlators": _sql(_TRACE + _INFERRED, "SELECT seq, correlator_id FROM inf"),
     "chrome_events": _sql(_TRACE, f"SELECT seq, v.place, v.ph, {_NAMES.format('activity_type')} AS name, ts, 0 AS pid, local_worker AS tid, CASE WHEN v.ph IN ('s', 't') THEN correlator_id END AS id, CASE event_type WHEN 1 THEN 'Start' WHEN 2 THEN 'End' WHEN 3 THEN 'Sent' ELSE 'Received' END AS event FROM trace JOIN (VALUES (1, 0, 'B'), (2, 0, 'E'), (3, 0, 'B'), (3, 1, 's'), (3, 2, 'E'), (4, 0, 'B'), (4, 1, 't'), (4, 2, 'E')) v(e, place, ph) ON v.e = event_type"),
     "span_join": _sql(_TRACE, _SPANS.format(name=_NAMES.format("activity_type"), rows="trace")),
     "span_join_infer": _sql(_TRACE + _INFERRED, _SPANS.format(name=_NAMES.format("activity_type"), rows="inf")),
     "pag_as_trace": _sql(_G, "SELECT epoch, n * 2 + v.i AS seq, CASE v.i WHEN 0 THEN src_ts ELSE dst_ts END AS ts, CASE v.i WHEN 0 THEN src_worker ELSE dst_worker END AS local_worker, edge_type AS activity_type, CASE WHEN edge_type IN (8, 9, 10) THEN 3 + v.i ELSE 1 + v.i END AS event_type, n AS correlator_id, CASE v.i WHEN 0 THEN dst_worker ELSE src_worker END AS remote_worker, operator_id FROM (SELECT *, row_number() OVER (PARTITION BY epoch ORDER BY src_ts, src_worker, dst_ts, dst_worker, edge_type, operator_id NULLS FIRST) AS n FROM g) CROSS JOIN (VALUES (0), (1)) v(i)"),
-    "pag_dot_lines": _sql(_G, f"""SELECT epoch, src_ts, '"' || src_ts || '@' || src_worker || '" -> "' || dst_ts || '@' || dst_worker || '" [label="' || {_NAMES.format('edge_type')} || '"];' AS value FROM g WHERE src_worker <> dst_worker"""),
+    "pag_dot_lines": _sql(_G, f"""SELECT epoch, CASE WHEN src_worker = dst_worker THEN 1 ELSE 2 END AS part, CASE WHEN src_worker = dst_worker THEN src_worker ELSE 0 END AS worker, src_ts AS k,
+    '"' || src_ts || '@' || src_worker || '" -> "' || dst_ts || '@' || dst_worker || '" [label="' || {_NAMES.format('edge_type')} || '"];' AS value FROM g
+  UNION ALL SELECT DISTINCT epoch, 1, src_worker, v.k, CASE WHEN v.k < 0 THEN 'subgraph cluster' || src_worker || ' {{ label="w' || src_worker || '";' ELSE '}}' END FROM g, (VALUES (-4611686018427387904), (4611686018427387904)) v(k) WHERE src_worker = dst_worker
+  UNION ALL SELECT DISTINCT epoch, v.part, 0, 0, v.line FROM g, (VALUES (0, 'digraph pag {{'), (3, '}}')) v(part, line)"""),
     "summary_text": _sql(_S, "SELECT 'SUMMARY ' || concat_ws(',', epoch, activity, operator, src, dst, crosses, CAST(bc AS BIGINT), CAST(weighted_bc AS BIGINT), count, weight) AS value FROM sm"),
     "single_path": _sql(_G + _WALK, "SELECT * FROM walk"),
     "single_path_summary": _sql(_G + _WALK, "SELECT epoch, edge_type AS activity, CAST(coalesce(operator_id, 255) % 256 AS INTEGER) AS operator, count(*) AS bc, CAST(sum(dst_ts - src_ts) AS BIGINT) AS weighted_bc, count(*) AS count, CAST(sum(dst_ts - src_ts) AS BIGINT) AS weight FROM walk GROUP BY ALL"),
+    "path_summary_text": _sql(_G + _WALK, "SELECT concat_ws(' ', 'SP_SUMMARY', epoch, 0, edge_type, CAST(coalesce(operator_id, 255) % 256 AS INTEGER), count(*), CAST(sum(dst_ts - src_ts) AS BIGINT), count(*), CAST(sum(dst_ts - src_ts) AS BIGINT)) AS value FROM walk GROUP BY epoch, edge_type, CAST(coalesce(operator_id, 255) % 256 AS INTEGER)"),
+    "count_text": _sql(_M, "SELECT concat_ws(' ', 'COUNT', epoch, 0, 'records', count(*)) AS value FROM e GROUP BY epoch UNION ALL SELECT concat_ws(' ', 'COUNT', epoch, 0, 'messages', count(*)) FROM m GROUP BY epoch"),
+    "epochs_mapped": _sql(_TRACE, "SELECT epoch, count(*) AS records, count(DISTINCT local_worker) AS workers, min(ts) AS first FROM e GROUP BY epoch"),
 }

@@ -85,13 +85,21 @@ def encode_record(r: tuple) -> bytes:
     return b"".join([encode_integer(x & ((1 << 64) - 1), False) for x in r[:4]] + [encode_integer(-1 if x is None else x, True) for x in r[4:]])
 
 
+#: Bits of seq for a record's place in its file; the file's number is above them.
+PLACE_BITS = 40
+
+
 def read(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
-    """All records of the files at path, with seq by file and place."""
+    """All records of the files at path, with seq by file (in the order of their paths) and place: unique in the trace, one
+    file's records count from 0."""
+    files = spark.read.format("binaryFile").load(path)
+    # the driver has listed the files already; their paths, not their content, are what this collects
+    numbers = {p: n << PLACE_BITS for n, p in enumerate(sorted(r.path for r in files.select("path").collect()))}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data in batch.column(0):
-                rows, seq = [], 0
+            for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                rows, seq = [], numbers[name]
                 for r in decode_records(data.as_py(), strict):
                     rows.append((seq, *r))
                     seq += 1
@@ -101,7 +109,7 @@ def read(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
                 if rows:
                     yield _batch(rows)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RECORD)
+    return files.select("path", "content").mapInArrow(run, RECORD)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -110,8 +118,8 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 class _File(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, number: int):
+        self.path, self.number = path, number
 
 
 class _Reader(DataSourceReader):
@@ -119,13 +127,13 @@ class _Reader(DataSourceReader):
         self.path, self.strict = path, strict
 
     def partitions(self) -> list[InputPartition]:
-        if os.path.isdir(self.path):
-            return [_File(p) for p in sorted(glob.glob(os.path.join(self.path, "*"))) if not os.path.basename(p).startswith(("_", "."))]
-        return [_File(p) for p in sorted(glob.glob(self.path))]
+        paths = glob.glob(os.path.join(self.path, "*") if os.path.isdir(self.path) else self.path)
+        kept = sorted(p for p in paths if not os.path.isdir(self.path) or not os.path.basename(p).startswith(("_", ".")))
+        return [_File(p, n) for n, p in enumerate(kept)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         with open(partition.path, "rb") as f:
-            for seq, r in enumerate(decode_records(f.read(), self.strict)):
+            for seq, r in enumerate(decode_records(f.read(), self.strict), partition.number << PLACE_BITS):
                 yield (seq, *r)
 
 

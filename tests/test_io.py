@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from critpath.config import Config
+from critpath.operators import prep
 from critpath.plans import cli
 from critpath.plans.pipeline import Analysis
 from critpath.plans.sweep import Sweep, steps
@@ -43,6 +44,24 @@ def test_trace_files(spark, tmp_path):
         assert sorted(map(tuple, got.drop("seq").collect()), key=str) == want
 
 
+def test_files_of_several_workers_are_one_trace(spark, tmp_path):
+    """Records have numbers of their own across files, so what is matched by them is the same as in one file."""
+    msgpack.register(spark)
+    rows = [(w, ts, event) for w in (0, 1, 2) for ts, event in ((0, 1), (100 + w, 2), (200, 1), (320 + w, 2))]
+    encoded = {w: b"".join(msgpack.encode_record((ts, v, 4, event, None, None, 7)) for v, ts, event in rows if v == w) for w in (0, 1, 2)}
+    for w, data in encoded.items():
+        (tmp_path / "many").mkdir(exist_ok=True)
+        (tmp_path / "many" / f"worker-{w}").write_bytes(data)
+    (tmp_path / "one").write_bytes(b"".join(encoded.values()))
+    one = msgpack.read(spark, str(tmp_path / "one"))
+    spans = lambda t: sorted(tuple(map(str, r)) for r in sinks.spans(prep.infer_correlators(t)).drop("corr_id").collect())
+    for many in (msgpack.read(spark, str(tmp_path / "many")), spark.read.format("msgpack_trace").load(str(tmp_path / "many"))):
+        assert many.select("seq").distinct().count() == many.count() == 12
+        assert [r.local_worker for r in many.orderBy("seq").collect()] == [0] * 4 + [1] * 4 + [2] * 4
+        assert prep.infer_correlators(many).select("correlator_id").distinct().count() == 6
+        assert spans(many) == spans(one) and len(spans(one)) == 6
+
+
 def log_lines(results=False):
     task = lambda stage, ex, launch, finish, grt=0: {"Event": "SparkListenerTaskEnd", "Stage ID": stage, "Task Info": {"Executor ID": ex, "Launch Time": launch, "Finish Time": finish, "Getting Result Time": grt}, "Task Metrics": {"Executor Deserialize Time": 1, "Executor Run Time": 5, "Result Serialization Time": 1, "Shuffle Read Metrics": {"Fetch Wait Time": 1}, "Shuffle Write Metrics": {"Shuffle Write Time": 1000}}}
     stage = lambda event, i, n, parents, a, b: {"Event": f"SparkListenerStage{event}", "Stage Info": {"Stage ID": i, "Number of Tasks": n, "Parent IDs": parents, "Submission Time": a, "Completion Time": b}}
