@@ -167,7 +167,7 @@ def test_keys_are_packed_whole():
     keys = np.sort(np.random.default_rng(1).integers(0, 1 << 56, 1000).astype(np.uint64))
     assert (lm_scoring.unpacked_keys(lm_scoring.packed_keys(keys)) == keys).all()
     assert (lm_scoring.unpacked(lm_scoring.packed(np.arange(9)), np.int64) == np.arange(9)).all() and len(lm_scoring.unpacked_keys(lm_scoring.packed_keys(keys[:0]))) == 0
-    assert set(lm_scoring.shard_of(keys, 3).tolist()) == {0, 1, 2}
+    assert set(lm_scoring.shard_of(keys, 3, 56).tolist()) == {0, 1, 2}
 
 
 def test_language_model_without_rows(spark):
