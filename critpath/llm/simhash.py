@@ -2,9 +2,9 @@
 
 Fingerprints: 64 bits, one XXH64 per word shingle, bit set if set in over half of the hashes.
 
-The tree. A shard with more than SHARD_ROWS rows is split: one of its own fingerprints, drawn by hash, becomes the
-vantage point, and a row's branch is its Hamming distance to it over the bits of the shard's level. Every shard is split
-as often as it needs, whatever the size of the others; a level takes the next eight of the 64 bits. After all eight levels a
+The tree. A fingerprint, drawn by hash, is a level's vantage point, and a row's branch is its Hamming distance to it over the
+bits of the level. All rows pass the first BASE levels. Then a shard with more than SHARD_ROWS rows is split by a vantage point
+of its own, as often as it needs, whatever the size of the others; a level takes the next eight of the 64 bits. After all eight levels a
 second round begins with new vantage points for shards with more than DENSE_ROWS rows.
 
 The bound. Within a round the levels' bits are disjoint, so for two fingerprints within r bits of each other the
@@ -37,7 +37,9 @@ from critpath.llm.common import cut, only, words_of
 
 SEED = 42
 #: Rows from which on a shard is split, the same in the second and last round of levels, and bits of a level.
-SHARD_ROWS, DENSE_ROWS, LEVEL_BITS = 1 << 13, 1 << 19, 8
+SHARD_ROWS, DENSE_ROWS, LEVEL_BITS = 1 << 15, 1 << 19, 8
+#: Levels that all fingerprints pass at every size, each with one vantage point.
+BASE = 4
 #: Full shards (16 bytes each) that are broadcast; more of them are joined by a shuffle, in which none is hot.
 BROADCAST_ROWS = 200_000
 _CHUNK = 1 << 16
@@ -92,8 +94,13 @@ def _split(rows: DataFrame, radius: int, level: int) -> DataFrame:
 def shards(fps: DataFrame, radius: int) -> DataFrame:
     """shard, home, left, fp: every fingerprint (column fp, distinct) at home in one shard and visiting those that the bounds leave."""
     rows = fps.select(F.lit(0).cast("long").alias("shard"), F.lit(True).alias("home"), F.lit(radius).alias("left"), "fp")
-    done, levels = None, 64 // LEVEL_BITS
-    for level in range(2 * levels):
+    drawn = fps.agg(*(F.min_by("fp", F.xxhash64("fp", F.lit(level))) for level in range(BASE))).first()  # BASE numbers
+    if drawn[0] is None:
+        return rows
+    for level, vantage in enumerate(drawn):
+        rows = _split(rows.withColumn("vantage", F.lit(vantage)), radius, level)
+    rows, done, levels = cut(rows), None, 64 // LEVEL_BITS
+    for level in range(BASE, 2 * levels):
         sizes = rows.groupBy("shard").agg(F.count("*").alias("n"), F.min_by("fp", F.xxhash64("fp", F.lit(level))).alias("vantage"))
         full = cut(sizes.filter(F.col("n") > (SHARD_ROWS if level < levels else DENSE_ROWS)).select("shard", "vantage"))
         n = full.count()
