@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from critpath.operators.prep import communication, sender
-from critpath.schema import RECEIVED, SENT
+from critpath.schema import CONTROL_MESSAGE, DATA_MESSAGE, RECEIVED, SENT
 
 
 @dataclass
@@ -27,31 +27,46 @@ def bounds(window: int) -> tuple[Column, Column]:
     return F.col("epoch") * window - 1, (F.col("epoch") + 1) * window
 
 
-def outer(trace: DataFrame, start: int = SENT, end_event: int = RECEIVED) -> DataFrame:
-    """Sends and receives (or any other two events) of each epoch side by side (s, r), by (epoch, sender, correlator); null correlators match.
+_END = ("ts", "seq", "local_worker", "remote_worker", "activity_type", "operator_id", "correlator_id")
+
 
-    A row for each receive, and one for a send that has none. Of several sends with one key in an epoch, the first
-    counts (duplicate_sends has the others). Both ends of a key meet in one window, so there is one shuffle and no join.
+def sided(trace: DataFrame, start: int = SENT, end_event: int = RECEIVED) -> DataFrame:
+    """Every send and receive (or any other two events) with its key's ends: epoch, own, s (the key's first send in the
+    epoch), r (own, if it is a receive), lone (the first send of a key that has no receive). Keys are (epoch, sender,
+    correlator); null correlators match. Both ends of a key meet in one window, so there is one shuffle and no join.
     """
-    end = F.struct("ts", "seq", "local_worker", "remote_worker", "activity_type", "operator_id", "correlator_id")
+    end = F.struct(*_END)
     is_sent, is_received = F.col("event_type") == start, F.col("event_type") == end_event
     key = W.partitionBy("epoch", "sender", "correlator_id")
     rows = communication(trace).withColumn("sender", sender()).withColumns({"own": end, "s": F.min(F.when(is_sent, end)).over(key), "any": F.max(is_received).over(key)})
     lone = is_sent & ~F.col("any") & (F.col("own.ts") == F.col("s.ts")) & (F.col("own.seq") == F.col("s.seq"))
-    return rows.filter(is_received | lone).select("epoch", "s", F.when(is_received, F.col("own")).alias("r"))
+    return rows.select("epoch", "event_type", "own", "s", F.when(is_received, F.col("own")).alias("r"), lone.alias("lone"))
 
 
-def pair(trace: DataFrame, window: int, strict: bool = False, check: Callable[[Column, Column], Column] | None = None) -> Paired:
-    """Edges of matched messages and of those that leave or enter an epoch; strict: bad pairs are errors; check(sent,
-    received): what must hold for a matched pair besides."""
-    low, high = bounds(window)
-    both = outer(trace)
+def outer(trace: DataFrame, start: int = SENT, end_event: int = RECEIVED) -> DataFrame:
+    """Sends and receives (or any other two events) of each epoch side by side (s, r): a row for each receive, and one
+    for a send that has none. Of several sends with one key in an epoch, the first counts (duplicate_sends has the others).
+    """
+    return sided(trace, start, end_event).filter(F.col("r").isNotNull() | F.col("lone")).select("epoch", "s", "r")
+
+
+def _checked(both: DataFrame, strict: bool, check: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """both (s, r), where reading r is an error for a pair that fails."""
+    fails = lambda wrong, text: both.withColumn("r", F.when(F.coalesce(wrong, F.lit(False)), F.raise_error(F.lit(text)).cast(both.schema["r"].dataType)).otherwise(F.col("r")))
     if check is not None:
         holds = F.col("s").isNull() | F.col("r").isNull() | F.coalesce(check(F.col("s"), F.col("r")), F.lit(False))
-        both = both.withColumn("r", F.when(~holds, F.raise_error(F.lit("a matched pair fails its check")).cast(both.schema["r"].dataType)).otherwise(F.col("r")))
+        both = fails(~holds, "a matched pair fails its check")
     if strict:
         wrong = (F.col("s.activity_type") != F.col("r.activity_type")) | (F.col("s.remote_worker") != F.col("r.local_worker")) | (F.col("s").isNull() & F.col("r.remote_worker").isNull())
-        both = both.withColumn("r", F.when(F.coalesce(wrong, F.lit(False)), F.raise_error(F.lit("the two ends of a message differ")).cast(both.schema["r"].dataType)).otherwise(F.col("r")))
+        both = fails(wrong, "the two ends of a message differ")
+    return both
+
+
+def pair(trace: DataFrame, window: int, strict: bool = False, check: Callable[[Column, Column], Column] | None = None) -> Paired:
+    """Edges of matched messages and of those that leave or enter an epoch; strict: bad pairs are errors; check(sent,
+    received): what must hold for a matched pair besides."""
+    low, high = bounds(window)
+    both = _checked(outer(trace), strict, check)
     status = F.when(F.col("r").isNull(), "send").when(F.col("s").isNull(), "receive").otherwise("matched")
     rows = both.withColumn("status", status).filter((F.col("status") == "matched") | (F.col("s.remote_worker").isNotNull()) | F.col("r.remote_worker").isNotNull())
     known = F.coalesce("s", "r")
@@ -77,6 +92,32 @@ def pair(trace: DataFrame, window: int, strict: bool = False, check: Callable[[C
     return Paired(edges, missing)
 
 
+#: A record on its timeline: rank 0 for those of the trace, 1 for those that stand for a missing end; message is what arrives with it.
+MESSAGE = "struct<src_ts:bigint,src_worker:bigint,edge_type:int,operator_id:bigint>"
+
+
+def on_timelines(trace: DataFrame, window: int, strict: bool = False) -> DataFrame:
+    """The records of all timelines (epoch, worker, ts, rank, seq, event_type, activity, operator_id, message), with what
+    pair() gives: a message's edge goes along with the record at its receiving end, so that one shuffle by (epoch,
+    worker) brings a timeline and the messages to it together. Only messages pass through the pairing."""
+    low, high = bounds(window)
+    local = trace.filter(~F.coalesce(F.col("activity_type").isin(CONTROL_MESSAGE, DATA_MESSAGE), F.lit(False)))
+    rows = local.select("epoch", F.col("local_worker").alias("worker"), "ts", F.lit(0).alias("rank"), "seq", "event_type", F.col("activity_type").alias("activity"), "operator_id", F.lit(None).cast(MESSAGE).alias("message"))
+    both = _checked(sided(trace), strict)
+    own, received = F.col("own"), F.col("r").isNotNull()
+    entering = received & F.col("s").isNull() & F.col("own.remote_worker").isNotNull()
+    leaving = F.col("lone") & F.col("own.remote_worker").isNotNull()
+    from_send = F.struct(F.col("s.ts").alias("src_ts"), F.col("s.local_worker").alias("src_worker"), F.col("s.activity_type").alias("edge_type"), F.col("s.operator_id").alias("operator_id")).cast(MESSAGE)
+    from_bound = F.struct(low.alias("src_ts"), F.col("own.remote_worker").alias("src_worker"), F.col("own.activity_type").alias("edge_type"), F.col("own.operator_id").alias("operator_id")).cast(MESSAGE)
+    arrived = F.when(received & F.col("s").isNotNull(), from_send).when(entering, from_bound)
+    kinds = {f.name: f.dataType for f in rows.schema.fields}
+    record = lambda worker, ts, rank, event, message: F.struct(*(v.cast(kinds[n]).alias(n) for n, v in (("worker", worker), ("ts", ts), ("rank", F.lit(rank)), ("seq", own["seq"]), ("event_type", event), ("activity", own["activity_type"]), ("operator_id", own["operator_id"]), ("message", message))))
+    real = record(own["local_worker"], own["ts"], 0, F.col("event_type"), arrived)
+    made = F.when(leaving, record(own["remote_worker"], high, 1, F.lit(SENT), from_send)).when(entering, record(own["remote_worker"], low, 1, F.lit(RECEIVED), F.lit(None)))
+    ends = both.select("epoch", F.explode(F.filter(F.array(real, made), lambda x: x.isNotNull())).alias("e")).select("epoch", "e.*")
+    return rows.unionByName(ends)
+
+
 def duplicate_sends(trace: DataFrame) -> DataFrame:
     """epoch, sender, correlator_id, sends of keys that were sent more than once in an epoch."""
     sent = communication(trace).filter(F.col("event_type") == SENT)

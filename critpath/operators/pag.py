@@ -11,33 +11,28 @@ from critpath.operators import messages, prep, timeline
 from critpath.schema import BLOCK, PAG_COLUMNS, UNBOUNDED, WAITING
 
 
-def annotated(edges: DataFrame, waiting_message: int = 0) -> DataFrame:
+def annotated(edges: DataFrame, waiting_message: int = 0, worker: str = "dst_worker") -> DataFrame:
     """Adds traverse: waiting blocks, and so does a message that took longer than waiting_message unless the receiver
-    was waiting for it. At one time a worker's own activity comes before a message."""
-    is_message = F.col("src_worker") != F.col("dst_worker")
-    order = W.partitionBy("epoch", "dst_worker").orderBy("dst_ts", is_message, "src_ts", "edge_type")
-    waited = F.coalesce(F.lag("edge_type").over(order) == WAITING, F.lit(False))
-    late = is_message & F.lit(waiting_message > 0) & (F.abs(F.col("dst_ts") - F.col("src_ts")) > waiting_message) & ~waited
-    return edges.withColumn("traverse", F.when(late | (F.col("edge_type") == WAITING), BLOCK).otherwise(UNBOUNDED))
-
-
-def construct(trace: DataFrame, config: Config, mode: str = "auto") -> DataFrame:
-    """The graph of all epochs (PAG_COLUMNS) from trace records."""
+    was waiting for it. At one time a worker's own activity comes before a message. worker: a column like dst_worker, by
+    which the rows may lie together already; rows without a dst_ts, and starts, come before all edges."""
+    blocks = F.col("edge_type") == WAITING
+    if waiting_message > 0:
+        is_message = F.col("src_worker") != F.col("dst_worker")
+        order = W.partitionBy("epoch", worker).orderBy("dst_ts", is_message, "src_ts", "edge_type")
+        waited = F.coalesce(F.lag("edge_type").over(order) == WAITING, F.lit(False))
+        blocks = blocks | (is_message & (F.abs(F.col("dst_ts") - F.col("src_ts")) > waiting_message) & ~waited)
+    return edges.withColumn("traverse", F.when(blocks, BLOCK).otherwise(UNBOUNDED))
+
+
+def construct(trace: DataFrame, config: Config) -> DataFrame:
+    """The graph of all epochs (PAG_COLUMNS) from trace records: one pairing, one stack, one pass over neighbours.
+
+    Messages and the ends of timelines travel with the records of the worker they arrive at, so the whole graph comes out
+    of rows that lie together by (epoch, worker)."""
     trace = prep.with_epoch(prep.clip_message_delay(trace, config.message_delay), config.window)
-    paired = messages.pair(trace, config.window, config.strict)
-    parts = timeline.pieces(trace, paired.halves, config.window, mode)
-    local = timeline.connected(parts, config.threshold, config.insert_waiting)
-    remote = paired.edges.drop("status").filter("src_worker <> dst_worker or src_ts < dst_ts")
-    edges = annotated(local.unionByName(remote), config.waiting_message).withColumn("kind", F.lit("EDGE"))
-    ends = timeline.chain_ends(trace, paired.halves, config.window)
-    start, none = F.col("kind") == "START", F.lit(None).cast("long")
-    nodes = ends.select(
-        "epoch", "kind",
-        F.when(~start, F.col("ts")).alias("src_ts"), F.when(~start, F.col("worker")).alias("src_worker"),
-        F.when(start, F.col("ts")).alias("dst_ts"), F.when(start, F.col("worker")).alias("dst_worker"),
-        F.lit(None).cast("int").alias("edge_type"), none.alias("operator_id"), F.lit(UNBOUNDED).alias("traverse"),
-    )
-    return edges.select(*PAG_COLUMNS).unionByName(nodes)
+    parts = timeline.pieces_of(messages.on_timelines(trace, config.window, config.strict), config.window, "window" if config.nested else "auto")
+    rows = timeline.graph_rows(parts, config.window, config.threshold, config.insert_waiting)
+    return annotated(rows, config.waiting_message, "worker").select(*PAG_COLUMNS)
 
 
 def edges(pag: DataFrame) -> DataFrame:

@@ -2,30 +2,35 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from critpath.operators.messages import bounds
+from critpath.operators.messages import MESSAGE, bounds
 from critpath.schema import BOGUS, END, RECEIVED, SENT, START, UNKNOWN, WAITING
 
 #: Order within a timeline: real records by their place, then records made for missing ends, then the epoch's bounds.
 _ORDER = ("ts", "rank", "seq")
-PIECES = "epoch long, worker long, k1 long, k2 long, place long, is_remote boolean, activity int, operator_id long, event_type int"
+PIECES = f"epoch long, worker long, k1 long, k2 long, place long, is_remote boolean, activity int, operator_id long, event_type int, message {MESSAGE}"
+_PIECE_COLUMNS = [x.split()[0] for x in PIECES.split(", ")]
 
 
-def slices(trace: DataFrame, halves: DataFrame, window: int) -> DataFrame:
-    """All records of an epoch's timelines: trace, missing ends, and two bounds for every worker with a record.
+def records(trace: DataFrame, halves: DataFrame) -> DataFrame:
+    """The records of all timelines from a trace and the missing ends of its messages (as messages.on_timelines, without what arrives)."""
+    own = lambda df, rank: df.select("epoch", F.col("local_worker").alias("worker"), "ts", F.lit(rank).alias("rank"), "seq", "event_type", F.col("activity_type").alias("activity"), "operator_id", F.lit(None).cast(MESSAGE).alias("message"))
+    return own(trace, 0).unionByName(own(halves, 1))
+
+
+def slices(rows: DataFrame, window: int) -> DataFrame:
+    """All records of an epoch's timelines, with two bounds for every worker that has a record.
 
     A timeline's first record brings the bounds along, in the shuffle that the windows after it need anyway.
     """
-    fields = ("ts", "rank", "seq", "event_type", "activity", "operator_id")
-    own = lambda df, rank: df.select("epoch", F.col("local_worker").alias("worker"), "ts", F.lit(rank).alias("rank"), "seq", "event_type", F.col("activity_type").alias("activity"), "operator_id")
-    rows = own(trace, 0).unionByName(own(halves, 1))
+    fields = ("ts", "rank", "seq", "event_type", "activity", "operator_id", "message")
     low, high = bounds(window)
     kinds = {f.name: f.dataType for f in rows.schema.fields}
-    bound = lambda t: F.struct(*(v.cast(kinds[n]).alias(n) for n, v in zip(fields, (t, F.lit(2), F.lit(0), F.lit(BOGUS), F.lit(UNKNOWN), F.lit(None)), strict=True)))
+    bound = lambda t: F.struct(*(v.cast(kinds[n]).alias(n) for n, v in zip(fields, (t, F.lit(2), F.lit(0), F.lit(BOGUS), F.lit(UNKNOWN), F.lit(None), F.lit(None)), strict=True)))
     record = F.struct(*fields)
     first = F.row_number().over(W.partitionBy("epoch", "worker").orderBy(*_ORDER)) == 1
     made = F.when(F.col("first"), F.array(record, bound(low), bound(high))).otherwise(F.array(record))
@@ -51,7 +56,7 @@ def with_stack(rows: DataFrame) -> DataFrame:
 
 def _element(k1: Column, k2: Column, place: Column, remote: bool, activity: Column, operator: Column) -> Column:
     event = F.col("event_type")
-    return F.struct(k1.alias("k1"), k2.alias("k2"), place.alias("place"), F.lit(remote).alias("is_remote"), activity.alias("activity"), operator.cast("long").alias("operator_id"), event.alias("event_type"))
+    return F.struct(k1.alias("k1"), k2.alias("k2"), place.alias("place"), F.lit(remote).alias("is_remote"), activity.alias("activity"), operator.cast("long").alias("operator_id"), event.alias("event_type"), (F.col("message") if remote else F.lit(None).cast(MESSAGE)).alias("message"))
 
 
 def nested_pieces(stacked: DataFrame) -> DataFrame:
@@ -70,17 +75,14 @@ def nested_pieces(stacked: DataFrame) -> DataFrame:
 EPOCHS_PER_CALL = 64
 
 
-def overlapping_pieces(pdf: pd.DataFrame) -> pd.DataFrame:
+def overlapping_pieces(table: pa.Table) -> pa.Table:
     """The same for timelines of one worker with overlaps: an End closes the innermost activity of its type and those
     inside it."""
-    pdf = pdf.sort_values(["epoch", *_ORDER], kind="stable")
+    table = table.sort_by([(c, "ascending") for c in ("epoch", *_ORDER)])
     out, stack, prev, current, place = [], [], None, None, 0
-    worker = int(pdf["worker"].iloc[0])
-    columns = (pdf[c].tolist() for c in ("epoch", "ts", "event_type", "activity", "operator_id"))
-    for epoch, ts, event, activity, operator in zip(*columns, strict=True):
+    for epoch, worker, ts, event, activity, operator, message in zip(*(table[c].to_pylist() for c in ("epoch", "worker", "ts", "event_type", "activity", "operator_id", "message")), strict=True):
         if epoch != current:
             stack, prev, current, place = [], None, epoch, 0
-        operator = None if pd.isna(operator) else int(operator)
         local = None
         if event == START:
             if stack:
@@ -95,32 +97,42 @@ def overlapping_pieces(pdf: pd.DataFrame) -> pd.DataFrame:
         elif stack:
             local = stack[-1]
         if local:
-            out.append((epoch, worker, prev, ts, place, False, local[0], local[1], event))
+            out.append((epoch, worker, prev, ts, place, False, *local, event, None))
         if event not in (START, END):
-            out.append((epoch, worker, ts, 0, place, True, activity, operator, event))
+            out.append((epoch, worker, ts, 0, place, True, activity, operator, event, message))
         prev = ts
         place += 1
-    frame = pd.DataFrame(out, columns=[x.split()[0] for x in PIECES.split(", ")])
-    frame["operator_id"] = frame["operator_id"].astype("Int64")
-    return frame
+    kinds = [pa.int64()] * 5 + [pa.bool_(), pa.int32(), pa.int64(), pa.int32(), table.schema.field("message").type]
+    return pa.Table.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=_PIECE_COLUMNS)
 
 
 def pieces(trace: DataFrame, halves: DataFrame, window: int, mode: str = "auto") -> DataFrame:
+    """Pieces of all timelines of a trace and its messages' missing ends."""
+    return pieces_of(records(trace, halves), window, mode).drop("message")
+
+
+def pieces_of(rows: DataFrame, window: int, mode: str = "auto") -> DataFrame:
     """Pieces of all timelines. mode: auto takes the window plan, and the grouped function where activities overlap;
     window and grouped take one of them for all (window is exact for nested activities alone)."""
-    stacked = with_stack(slices(trace, halves, window))
-    names = [x.split()[0] for x in PIECES.split(", ")]
-    by_window = nested_pieces(stacked if mode == "window" else stacked.filter("not overlap")).select(*names)
+    stacked = with_stack(slices(rows, window))
+    by_window = nested_pieces(stacked if mode == "window" else stacked.filter("not overlap")).select(*_PIECE_COLUMNS)
     if mode == "window":
         return by_window
     # all columns of the stack go along: both branches then read one shuffle
     rest = stacked if mode == "grouped" else stacked.filter("overlap")
-    grouped = rest.groupBy(F.expr(f"epoch div {EPOCHS_PER_CALL}"), "worker").applyInPandas(overlapping_pieces, PIECES)
+    grouped = rest.groupBy(F.expr(f"epoch div {EPOCHS_PER_CALL}"), "worker").applyInArrow(overlapping_pieces, PIECES)
     return grouped if mode == "grouped" else by_window.unionByName(grouped)
 
 
 def connected(parts: DataFrame, threshold: int, insert_waiting: bool) -> DataFrame:
-    """Edges of gap-free chains: small gaps are closed, others become Waiting or Unknown activities.
+    """Edges of gap-free chains: small gaps are closed, others become Waiting or Unknown activities."""
+    local = graph_rows(parts.withColumn("message", F.lit(None).cast(MESSAGE)), None, threshold, insert_waiting)
+    return local.select("epoch", "src_ts", "src_worker", "dst_ts", "dst_worker", "edge_type", "operator_id")
+
+
+def graph_rows(parts: DataFrame, window: int | None, threshold: int, insert_waiting: bool) -> DataFrame:
+    """epoch, worker (whose timeline has it), kind (EDGE, START, END), src_ts, src_worker, dst_ts, dst_worker, edge_type,
+    operator_id: the chains' edges, the messages that arrive on them and, with a window, the ends of every timeline.
 
     What happens between two neighbours depends on them alone, so one pass with lag and lead does it.
     """
@@ -136,12 +148,24 @@ def connected(parts: DataFrame, threshold: int, insert_waiting: bool) -> DataFra
     new_stop = F.when(F.col("n_begin").isNull() | ~close_after, F.col("stop")).when(F.col("n_remote"), F.col("n_begin")).otherwise(middle(F.col("stop"), F.col("n_begin")))
     to_receive = F.col("n_remote") & (F.col("n_event") == RECEIVED) & F.lit(insert_waiting)
     waits = to_receive & (~F.col("is_remote") | (F.col("event_type") == SENT))
-    edge = lambda a, b, kind, operator: F.struct(a.alias("src_ts"), b.alias("dst_ts"), kind.cast("int").alias("edge_type"), operator.alias("operator_id"))
-    own = F.when(~F.col("is_remote"), edge(new_begin, new_stop, F.col("activity"), F.col("operator_id")))
-    filled = F.col("n_begin").isNotNull() & (~close_after | (F.col("is_remote") & F.col("n_remote")))
-    gap = F.when(filled, edge(F.col("stop"), F.col("n_begin"), F.when(waits, WAITING).otherwise(UNKNOWN), F.lit(None).cast("long")))
-    edges = rows.select("epoch", "worker", F.explode(F.filter(F.array(own, gap), lambda x: x.isNotNull())).alias("e"))
-    return edges.select("epoch", F.col("e.src_ts").alias("src_ts"), F.col("worker").alias("src_worker"), F.col("e.dst_ts").alias("dst_ts"), F.col("worker").alias("dst_worker"), F.col("e.edge_type").alias("edge_type"), F.col("e.operator_id").alias("operator_id")).filter("src_ts < dst_ts")
+    here, none = F.col("worker"), F.lit(None)
+
+    def row(kind: str, src_ts: Column, src_worker: Column, dst_ts: Column, dst_worker: Column, edge_type: Column = none, operator: Column = none) -> Column:
+        named = (("src_ts", src_ts), ("src_worker", src_worker), ("dst_ts", dst_ts), ("dst_worker", dst_worker), ("edge_type", edge_type), ("operator_id", operator))
+        return F.struct(F.lit(kind).alias("kind"), *(v.cast("int" if n == "edge_type" else "long").alias(n) for n, v in named))
+
+    own = F.when(~F.col("is_remote") & (new_begin < new_stop), row("EDGE", new_begin, here, new_stop, here, F.col("activity"), F.col("operator_id")))
+    filled = (F.col("stop") < F.col("n_begin")) & (~close_after | (F.col("is_remote") & F.col("n_remote")))
+    gap = F.when(filled, row("EDGE", F.col("stop"), here, F.col("n_begin"), here, F.when(waits, WAITING).otherwise(UNKNOWN)))
+    made = [own, gap]
+    if window is not None:
+        low, high = bounds(window)
+        sent_at, sender = F.col("message.src_ts"), F.col("message.src_worker")
+        made.append(F.when((sender != here) | (sent_at < begin), row("EDGE", sent_at, sender, begin, here, F.col("message.edge_type"), F.col("message.operator_id"))))
+        is_bound = F.col("is_remote") & (F.col("event_type") == BOGUS)  # no record of the trace lies on an epoch's bounds
+        made.append(F.when(is_bound & (begin == low), row("START", none, none, begin, here)).when(is_bound & (begin == high), row("END", begin, here, none, none)))
+    found = rows.select("epoch", "worker", F.explode(F.filter(F.array(*made), lambda x: x.isNotNull())).alias("e"))
+    return found.select("epoch", "worker", "e.*")
 
 
 def chain_ends(trace: DataFrame, halves: DataFrame, window: int) -> DataFrame:

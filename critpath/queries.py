@@ -5,6 +5,8 @@ The SQL is written on its own: open activities by the last start or end, edges b
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +19,8 @@ from critpath.sources import sinks, svg
 from critpath.sources.derived import HOUR, MINUTE, TEN_SECONDS, from_events
 from critpath.sources.synth import Pyramid, pyramid
 
-CONFIG = Config(window=HOUR, threshold=MINUTE, waiting_message=TEN_SECONDS)
+#: from_events makes a worker's activities one after the other, so they nest.
+CONFIG = Config(window=HOUR, threshold=MINUTE, waiting_message=TEN_SECONDS, nested=True)
 DELAY = 30_000_000
 EDGE = ["epoch", "src_ts", "src_worker", "dst_ts", "dst_worker", "edge_type", "operator_id"]
 
@@ -39,8 +42,7 @@ def _analysis(spark: SparkSession, sf_dir: str, config: Config = CONFIG) -> Anal
 
 
 def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sliced = _sliced(spark, sf_dir)
-    return timeline.pieces(sliced, messages.pair(sliced, HOUR).halves, HOUR)
+    return timeline.pieces_of(messages.on_timelines(_sliced(spark, sf_dir), HOUR), HOUR)
 
 
 def _timeline(spark: SparkSession, sf_dir: str, insert_waiting: bool = True) -> DataFrame:
@@ -179,7 +181,7 @@ def cp_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cp_summary_six_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with windows whose paths are too many to enumerate."""
-    return _analysis(spark, sf_dir, Config(window=6 * HOUR, threshold=MINUTE, waiting_message=TEN_SECONDS)).summaries
+    return _analysis(spark, sf_dir, replace(CONFIG, window=6 * HOUR)).summaries
 
 
 def cp_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:

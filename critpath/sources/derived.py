@@ -20,21 +20,19 @@ def from_events(events: DataFrame, workers: int = 8, operators: int = 16) -> Dat
     """
     base = events.select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"), (F.col("user_id") % workers).alias("w"), (F.col("user_id") % operators).alias("op"), "event_type", "value")
     none = F.lit(None).cast("long")
-    errors = base.filter("event_type = 'error'")
+    is_error = F.col("event_type") == "error"
+    order = W.partitionBy("w", is_error).orderBy("ts", "event_id")
+    own = F.when(F.col("event_type") == "view", PROCESSING).when(F.col("event_type") == "click", BUFFER).when(F.col("event_type") == "purchase", SERIALIZATION).otherwise(SCHEDULING)
+    rows = base.filter("event_type is not null").withColumn("activity", own).withColumns({"n": F.row_number().over(order), "before": F.lag(F.struct("activity", "op")).over(order)})
+    kinds = {"seq": "long", "ts": "long", "local_worker": "long", "activity_type": "int", "event_type": "int", "correlator_id": "long", "remote_worker": "long", "operator_id": "long"}
+    record = lambda **v: F.struct(*(v[n].cast(t).alias(n) for n, t in kinds.items()))
     next_worker = (F.col("w") + 1) % workers
     kind = F.when(F.col("value") < 5, CONTROL_MESSAGE).otherwise(DATA_MESSAGE)
     arrives = F.col("ts") + (F.floor(F.col("value") * 10) + 1) * 1_000_000
-    ends = F.array(
-        F.struct((F.col("event_id") * 2).alias("seq"), F.col("ts").alias("ts"), F.col("w").alias("local_worker"), F.lit(SENT).alias("event_type"), next_worker.alias("remote_worker")),
-        F.struct((F.col("event_id") * 2 + 1).alias("seq"), arrives.alias("ts"), next_worker.alias("local_worker"), F.lit(RECEIVED).alias("event_type"), F.col("w").alias("remote_worker")),
-    )
-    messages = errors.select(kind.alias("activity_type"), F.col("event_id").alias("correlator_id"), F.explode(ends).alias("e")).select("e.*", "activity_type", "correlator_id", none.alias("operator_id"))
-    order = W.partitionBy("w").orderBy("ts", "event_id")
-    own = F.when(F.col("event_type") == "view", PROCESSING).when(F.col("event_type") == "click", BUFFER).when(F.col("event_type") == "purchase", SERIALIZATION).otherwise(SCHEDULING)
-    rest = base.filter("event_type <> 'error'").withColumn("activity", own).withColumns({"n": F.row_number().over(order), "before": F.lag(F.struct("activity", "op")).over(order)})
+    sent = record(seq=F.col("event_id") * 2, ts=F.col("ts"), local_worker=F.col("w"), activity_type=kind, event_type=F.lit(SENT), correlator_id=F.col("event_id"), remote_worker=next_worker, operator_id=none)
+    received = record(seq=F.col("event_id") * 2 + 1, ts=arrives, local_worker=next_worker, activity_type=kind, event_type=F.lit(RECEIVED), correlator_id=F.col("event_id"), remote_worker=F.col("w"), operator_id=none)
     odd = F.col("n") % 2 == 1
-    activities = rest.select(
-        (F.col("event_id") * 2).alias("seq"), "ts", F.col("w").alias("local_worker"), F.when(odd, F.col("activity")).otherwise(F.col("before.activity")).alias("activity_type"),
-        F.when(odd, START).otherwise(END).alias("event_type"), none.alias("correlator_id"), none.alias("remote_worker"), F.when(odd, F.col("op")).otherwise(F.col("before.op")).alias("operator_id"),
-    )
-    return messages.select(*RECORD_COLUMNS).unionByName(activities.select(*RECORD_COLUMNS))
+    of = lambda name, now: F.when(odd, F.col(now)).otherwise(F.col(f"before.{name}"))
+    activity = record(seq=F.col("event_id") * 2, ts=F.col("ts"), local_worker=F.col("w"), activity_type=of("activity", "activity"), event_type=F.when(odd, START).otherwise(END), correlator_id=none, remote_worker=none, operator_id=of("op", "op"))
+    found = F.when(is_error, F.array(sent, received)).otherwise(F.array(activity))
+    return rows.select(F.explode(found).alias("e")).select("e.*").select(*RECORD_COLUMNS)

@@ -140,6 +140,31 @@ def test_plans_agree(spark, seed):
     assert timeline.broken_chains(edges).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_one_pass_makes_the_same_graph_as_its_parts(spark, seed):
+    """Chains, messages and ends made one by one and united; every second trace has overlaps."""
+    t = trace(spark, random_trace(20 + seed, overlap=seed % 2 == 1))
+    sliced = prep.with_epoch(t, 1000)
+    paired = messages.pair(sliced, 1000)
+    local = timeline.connected(timeline.pieces(sliced, paired.halves, 1000), 20, True)
+    remote = paired.edges.drop("status").filter("src_worker <> dst_worker or src_ts < dst_ts")
+    graph = pag.construct(t, Config(window=1000, threshold=20, waiting_message=300)).cache()
+    got = sorted(map(str, pag.edges(graph).drop("kind").select(*pag.annotated(local, 300).columns).collect()))
+    assert got == sorted(map(str, pag.annotated(local.unionByName(remote), 300).collect()))
+    ends = sorted((r.epoch, r.kind, r.ts, r.worker) for r in timeline.chain_ends(sliced, paired.halves, 1000).collect())
+    found = [(r.epoch, r.kind, r.dst_ts, r.dst_worker) for r in pag.start_nodes(graph).collect()] + [(r.epoch, r.kind, r.src_ts, r.src_worker) for r in pag.end_nodes(graph).collect()]
+    assert sorted(found) == ends
+    if seed % 2 == 0:
+        nested = pag.construct(t, Config(window=1000, threshold=20, waiting_message=300, nested=True))
+        assert sorted(map(str, nested.collect())) == sorted(map(str, graph.collect()))
+
+
+def test_strict_graphs_refuse_bad_messages(spark):
+    rows = [(10, 0, DATA_MESSAGE, SENT, 1, 1, None), (20, 1, CONTROL_MESSAGE, RECEIVED, 1, 0, None)]
+    with pytest.raises(Exception, match="the two ends of a message differ"):
+        pag.construct(trace(spark, rows), Config(window=1000, threshold=1, strict=True)).collect()
+
+
 def test_paths_into_the_ends_are_as_many(spark):
     graph = pag.construct(trace(spark, random_trace(11, False)), Config(window=1000, threshold=5))
     ranked = rank.betweenness(graph).filter("not isnan(bc)").cache()
