@@ -56,7 +56,10 @@ def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
 
 
 def fingerprint(text: str | None, size: int = 3) -> int:
-    hashes = shingle_hashes(words_of(text), size)
+    return fingerprint_of(shingle_hashes(words_of(text), size))
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
     bits = np.zeros(64, np.int64)
     for i in range(0, len(hashes), _CHUNK):
         part = hashes[i : i + _CHUNK]
@@ -114,16 +117,21 @@ def shards(fps: DataFrame, radius: int) -> DataFrame:
     return rows if done is None else done.unionByName(rows)
 
 
-def _forest(a: np.ndarray, b: np.ndarray, parent: dict[int, int]) -> None:
+def _forest(a: np.ndarray, b: np.ndarray, parent: dict[int, int]) -> list[tuple[int, int]]:
+    """Joins the trees of each a and b; the pairs that did join two."""
+    joined = []
+
     def find(x: int) -> int:
         while (p := parent.setdefault(x, x)) != x:
             parent[x] = x = parent[p]
         return x
 
-    for x, y in zip(a.tolist(), b.tolist(), strict=True):
-        x, y = find(x), find(y)
+    for own, other in zip(a.tolist(), b.tolist(), strict=True):
+        x, y = find(own), find(other)
         if x != y:
             parent[max(x, y)] = min(x, y)
+            joined.append((own, other))
+    return joined
 
 
 def near_pairs(fps: np.ndarray, at: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -136,13 +144,13 @@ def near_pairs(fps: np.ndarray, at: np.ndarray, radius: int) -> Iterator[tuple[n
         yield own[i[keep]], j[keep]
 
 
-def _linked(radius: int):
-    """Within a shard: home rows against all rows by a finer local level, links as a spanning forest."""
+def _linked(radius: int, near: bool):
+    """Within a shard: home rows against all rows by a finer local level, links as a spanning forest (near: of pairs within the radius)."""
 
     def run(group: pa.Table) -> pa.Table:
         nodes = group["fp"].to_numpy()
         fps = nodes.view(np.uint64)
-        homes, parent = np.flatnonzero(group["home"].to_numpy(zero_copy_only=False)), {}
+        homes, parent, joined = np.flatnonzero(group["home"].to_numpy(zero_copy_only=False)), {}, []
         if len(homes) <= 64:
             parts = [(homes, np.arange(len(fps)))]
         else:  # the same bound once more, for the bits of even place: only rows whose distance differs by radius at most
@@ -151,8 +159,8 @@ def _linked(radius: int):
         for own, rows in parts:
             place = np.searchsorted(rows, own)
             for i, j in near_pairs(fps[rows], place, radius):
-                _forest(nodes[rows[i]], nodes[rows[j]], parent)
-        links = [(x, r) for x in parent if (r := _root(parent, x)) != x]
+                joined += _forest(nodes[rows[i]], nodes[rows[j]], parent)
+        links = joined if near else [(x, r) for x in parent if (r := _root(parent, x)) != x]
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([r for _, r in links], pa.int64())})
 
     return run
@@ -164,9 +172,9 @@ def _root(parent: dict[int, int], x: int) -> int:
     return x
 
 
-def links(fps: DataFrame, radius: int = 2) -> DataFrame:
-    """Edges (a, b) that join exactly the fingerprints (column fp, distinct) linked by chains within radius bits."""
-    return shards(fps, radius).groupBy("shard").applyInArrow(_linked(radius), "a long, b long").filter("a <> b").distinct()
+def links(fps: DataFrame, radius: int = 2, near: bool = False) -> DataFrame:
+    """Edges (a, b) that join exactly the fingerprints (column fp, distinct) linked by chains within radius bits; near: each edge is within them itself."""
+    return shards(fps, radius).groupBy("shard").applyInArrow(_linked(radius, near), "a long, b long").filter("a <> b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -93,6 +93,34 @@ def test_near_copies_of_repeated_and_null_ids(spark):
     assert corpus_pipeline.near_duplicates(spark, docs.limit(0), "").count() == 0
 
 
+def test_near_copies_pass_the_tree_first(spark, monkeypatch):
+    """Fingerprints near each other are linked by the vantage-point tree, each link within the radius itself, and their texts are compared before any drawn ones."""
+    base = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(["other" if k == 40 * i else w for k, w in enumerate(base)])) for i in range(6)] + [(9, "apart from them all"), (10, None)]
+    found, compared, search, compare = [], [], near_copies.links, near_copies._similar
+
+    def links(fps, radius, near):
+        found.append([(x.a, x.b) for x in search(fps, radius, near=near).collect()])
+        return search(fps, radius, near=near)
+
+    monkeypatch.setattr(near_copies, "RADIUS", 12)
+    monkeypatch.setattr(near_copies, "links", links)
+    monkeypatch.setattr(near_copies, "_similar", lambda pairs, texts, size: compared.append(pairs.count()) or compare(pairs, texts, size))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    assert sorted(x.doc_id for x in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == [0, 9, 10]
+    assert len(found[0]) >= 5 and all(bin((a ^ b) & ((1 << 64) - 1)).count("1") <= 12 for a, b in found[0])
+    assert compared[0] >= 5 and compared[1:] == [0, 0]
+
+
+def test_only_texts_of_pairs_are_sent(spark):
+    texts = spark.range(3000).selectExpr("id as node", "cast(id as string) as text")
+    got = {x.node: x.text for x in near_copies._marked(texts, spark.range(0, 3000, 100).withColumnRenamed("id", "node")).collect()}
+    assert all(got[i] == str(i) for i in range(0, 3000, 100)) and len(got) < 40
+    for kind in (np.uint8, np.uint32, np.int64):
+        values = np.arange(5, dtype=kind) * kind(50)
+        assert np.array_equal(near_copies._unpacked(near_copies._packed(values), kind), values)
+
+
 def test_edited_copies_are_found_whatever_seeds_they_keep(spark):
     items = [(n, " ".join(f"w{n}x{k}" for k in range(n))) for n in (34, 38, 50)]
     replaced = lambda t: " ".join("edited" if k % 4 == 3 else w for k, w in enumerate(t.split()))
