@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from critpath.llm.common import cut, plain, stored, words_of
-from critpath.llm.simhash import components, fingerprint_of, links, shingle_hashes
+from critpath.llm.simhash import _forest, _root, components, fingerprint_of, links, shingle_hashes
 
 SHINGLE = 5
 #: Bits by which fingerprints differ at most that the tree links.
@@ -48,11 +48,14 @@ RADIUS = 2
 BUCKETS, PART = 1 << 20, 1 << 14
 #: Bytes of text for each group of the prefix join, and for each side of a block of candidates.
 GROUP_BYTES, BLOCK_BYTES = 8 << 20, 32 << 20
-_STEP = 1 << 22
+#: Values that a worker gathers before it counts or merges them.
+_STEP = 1 << 19
 #: Leading shingles that are packed at once, and bits of the map of texts to send (in rows of PART_BITS), whatever the input.
 PACKED, MARKS, PART_BITS = 1 << 19, 1 << 26, 1 << 20
 #: Candidates for each node from which on texts are compared with a drawn one of each shingle once more, and how often that is done at most.
 MANY, DRAWS = 4, 2
+#: Pairs (16 bytes each) that the driver joins to groups by itself; more of them take distributed rounds, with the same groups.
+LOCAL_PAIRS = 1 << 17
 #: Bits of a set's sketch: each says whether an odd number of shingles fell on it.
 SKETCH_BITS = 512
 MEMBER = "part int, hash long, node long, n int, pos int, drawn long"
@@ -236,23 +239,22 @@ def _apart(group: pa.Table) -> pa.Table:
 
 
 def _similar(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """The pairs (a, b) whose texts are similar; texts: node, text. A text is sent to a block once, however many pairs it has there."""
+    """x, y of the pairs (a, b, x, y) for which the texts of a and b are similar; texts: node, text. A text is sent to a block once, however many pairs it has there."""
     blocks = max(4, size // BLOCK_BYTES)
     of = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
-    placed = pairs.select("a", "b", (of("a") * blocks + of("b")).alias("block"))
+    placed = pairs.select("a", "b", "x", "y", (of("a") * blocks + of("b")).alias("block"))
     ends = placed.select(F.col("block").alias("to"), F.explode(F.array("a", "b")).alias("node")).distinct()
 
     def compared(some: pa.Table, sent: pa.Table) -> pa.Table:
         sets = {node: shingles(text.as_py()) for node, text in zip(sent["node"].to_pylist(), sent["text"], strict=True)}
-        rows = []
+        found = []
         for a, b in zip(some["a"].to_pylist(), some["b"].to_pylist(), strict=True):
-            x, y = sets[a], sets[b]
-            if similar(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)):
-                rows.append((a, b))
-        return pa.table({"a": pa.array([a for a, _ in rows], pa.int64()), "b": pa.array([b for _, b in rows], pa.int64())})
+            m, n = sets[a], sets[b]
+            found.append(similar(len(np.intersect1d(m, n, assume_unique=True)), len(m), len(n)))
+        return some.select(["x", "y"]).filter(pa.array(found, pa.bool_()))
 
     # a shingle set is made once for a text of a block
-    return placed.groupBy("block").cogroup(ends.join(texts, "node").groupBy("to")).applyInArrow(compared, "a long, b long")
+    return placed.groupBy("block").cogroup(ends.join(texts, "node").groupBy("to")).applyInArrow(compared, "x long, y long")
 
 
 def _linked(nodes: DataFrame) -> DataFrame:
@@ -286,22 +288,31 @@ def _marked(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts.select("node", "text", at.alias("at")).mapInArrow(run, "node long, text string")
 
 
+def _components(pairs: DataFrame) -> DataFrame:
+    """node, root (the least node reachable) of every node of the stored pairs (a, b)."""
+    if pairs.count() > LOCAL_PAIRS:
+        return components(pairs)
+    ends, parent = pairs.select("a", "b").toArrow(), {}
+    _forest(ends["a"].to_numpy(), ends["b"].to_numpy(), parent)
+    nodes = np.fromiter(parent, np.int64, len(parent))
+    roots = np.fromiter((_root(parent, x) for x in parent), np.int64, len(parent))
+    spark = pairs.sparkSession
+    return spark.createDataFrame(pa.table({"node": nodes, "root": roots})) if len(nodes) else spark.createDataFrame([], "node long, root long")
+
+
 def groups(rows: DataFrame) -> DataFrame:
     """node, root of every node that is similar to another, chains included; rows: _node, _row, _sketch, _fp, text."""
     size = int(rows.select(F.sum(F.octet_length("text"))).first()[0] or 0)
     # copies of a node have one sketch and fingerprint
     nodes = cut(rows.groupBy(F.col("_node").alias("node")).agg(F.min("_row").alias("row"), F.first("_sketch").alias("_sketch"), F.first("_fp").alias("fp")))
 
-    def named(pairs: DataFrame, old: str, new: str) -> DataFrame:
-        """pairs (a, b) of one name of nodes under another."""
-        a, b = (nodes.select(F.col(old).alias(c), F.col(new).alias(f"new_{c}")) for c in "ab")
-        return pairs.join(a, "a").join(b, "b").select(F.col("new_a").alias("a"), F.col("new_b").alias("b"))
-
     def compared(pairs: DataFrame) -> DataFrame:
-        pairs = cut(named(pairs, "node", "row"))  # one row of each node is sent
+        # one row of each node is sent: pairs of rows a and b, with their nodes x and y
+        x, y = (nodes.select(F.col("node").alias(of), F.col("row").alias(c)) for of, c in (("x", "a"), ("y", "b")))
+        pairs = cut(pairs.toDF("x", "y").join(x, "x").join(y, "y"))
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         texts = _marked(rows.select(F.col("_row").alias("node"), "text"), wanted)
-        return cut(named(_similar(pairs, texts, size), "row", "node"))
+        return cut(_similar(pairs, texts, size).toDF("a", "b"))
 
     def apart(pairs: DataFrame) -> DataFrame:
         a, b = (roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
@@ -311,7 +322,7 @@ def groups(rows: DataFrame) -> DataFrame:
         return members.drop("drawn").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
     found = compared(_linked(nodes.filter(F.col("node") != node_of(shingles(None)))))
-    roots, members = components(found), cut(_members(rows, size))
+    roots, members = _components(found), cut(_members(rows, size))
     drawn = members.filter("drawn is not null").select(F.least("node", "drawn").alias("a"), F.greatest("node", "drawn").alias("b")).distinct()
     for turn in range(DRAWS):
         if turn:
@@ -321,10 +332,10 @@ def groups(rows: DataFrame) -> DataFrame:
                 break
             drawn = _drawn(rooted(), turn)
         found = cut(found.unionByName(compared(apart(drawn))))
-        roots = components(found)
+        roots = _components(found)
     sketches = nodes.select("node", "_sketch")
     new = compared(rooted().join(sketches, "node").groupBy("part").applyInArrow(_apart, "a long, b long").distinct())
-    return components(found.unionByName(new))
+    return _components(found.unionByName(new))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

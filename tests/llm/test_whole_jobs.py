@@ -112,6 +112,37 @@ def test_near_copies_pass_the_tree_first(spark, monkeypatch):
     assert compared[0] >= 5 and compared[1:] == [0, 0]
 
 
+def test_near_copies_run_few_stages(spark):
+    """A chain of near copies takes no further rounds of joins for its length: stages (each with files and code of its own) stay few."""
+    words, rows = [f"w{i}" for i in range(120)], []
+    for i in range(30):
+        words[4 * i] = f"other{i}"
+        rows.append((i, " ".join(words)))
+    docs, sc = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.sparkContext
+    sc.setJobGroup("near-copies-stages", "")
+    got = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    tracker = sc.statusTracker()
+    stages = {x for job in tracker.getJobIdsForGroup("near-copies-stages") for x in tracker.getJobInfo(job).stageIds}
+    assert [x.doc_id for x in got] == plain_groups(rows) and len(stages) < 200
+
+
+@pytest.mark.parametrize("most", [0, 1 << 17])
+def test_groups_are_the_same_on_the_driver_and_in_rounds(spark, most, monkeypatch):
+    monkeypatch.setattr(near_copies, "LOCAL_PAIRS", most)
+    r = random.Random(3)
+    for n in (0, 1, 60):
+        pairs = [(r.randrange(-50, 50), r.randrange(50, 90)) for _ in range(n)]
+        groups = [{x} for x in {y for p in pairs for y in p}]
+        for a, b in pairs:
+            x, y = (next(g for g in groups if p in g) for p in (a, b))
+            if x is not y:
+                groups.remove(y)
+                x |= y
+        got = near_copies._components(spark.createDataFrame(pairs, "a long, b long"))
+        assert got.columns == ["node", "root"] and sorted(map(tuple, got.collect())) == sorted((x, min(g)) for g in groups for x in g)
+
+
 def test_only_texts_of_pairs_are_sent(spark):
     texts = spark.range(3000).selectExpr("id as node", "cast(id as string) as text")
     got = {x.node: x.text for x in near_copies._marked(texts, spark.range(0, 3000, 100).withColumnRenamed("id", "node")).collect()}
